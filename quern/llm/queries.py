@@ -1,9 +1,10 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from quern.llm import exact_dedup, mixing
+from quern.llm import exact_dedup, mixing, simhash_dedup
 
 QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
     "op2_source_mixing": mixing.op2_source_mixing,
 }
 ORACLES = {"op9_exact_dedup": exact_dedup.OP9_SQL}
