@@ -1,11 +1,12 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from quern.llm import byte_bpe, exact_dedup, mixing, quality, simhash_dedup, suffix_lm, toxicity
+from quern.llm import byte_bpe, exact_dedup, mixing, quality, simhash_dedup, substring_dedup, suffix_lm, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op10_quality": quality.op10_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_suffix_tree_lm": suffix_lm.op6_suffix_tree_lm,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
