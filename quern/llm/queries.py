@@ -1,11 +1,12 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from quern.llm import byte_bpe, exact_dedup, mixing, quality, rp_forest, simhash_dedup, substring_dedup, suffix_lm, toxicity
+from quern.llm import byte_bpe, exact_dedup, line_dedup, mixing, quality, rp_forest, simhash_dedup, substring_dedup, suffix_lm, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op10_quality": quality.op10_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_rp_forest": rp_forest.op4_rp_forest,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_suffix_tree_lm": suffix_lm.op6_suffix_tree_lm,
