@@ -9,12 +9,14 @@ starts in a document with a smaller id (windows are judged on the input). Work g
    once and goes on as one row, so a passage in very many documents reaches the shuffle once per flush.
 2. Merge. The batch's runs and the index' historical runs meet in key order; anchors that two documents
    share are candidates. The batch's run joins the index, and runs are compacted into one when they are many.
-3. Windows. Candidates join their documents, which are read again; the windows around a candidate get
-   two independent hashes of all their words. Windows meet by the first, are verified by the second, and
-   the smallest document of each is found, again with equal windows of a flush collapsed beforehand.
-4. Removal. Documents with verified windows lose the covered words; all others passed through in step 3.
-
-Texts travel compressed. Nothing is capped: very frequent anchors or windows cost rows by flush.
+3. Windows. Candidates join their texts; the windows around a candidate get two independent hashes of
+   all their words. Windows meet by the first, are verified by the second, and the smallest document of
+   each is found, again with equal windows of a flush collapsed beforehand.
+4. Removal. Texts with verified windows lose the covered words; all others were finished in step 3.
+
+Steps 1 to 3 know a text by its 64-bit hash and work once for all documents that hold it, under the
+smallest of their ids; every other document that holds it loses all words that a window covers. Texts
+travel compressed. Nothing is capped: very frequent anchors or windows cost rows by flush.
 """
 
 from __future__ import annotations
@@ -66,21 +68,21 @@ def rolling(h: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
 
 
 def anchors(h: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(flat positions of grams that anchor a window, their hashes); the leftmost of equal ones."""
-    grams = rolling(h, gram, FACTORS[0])
-    span = window - gram + 1
+    """(flat positions of grams that anchor a window, their hashes); all of equal ones."""
+    grams = rolling(h, gram, FACTORS[0]) | np.uint64(1)
     starts = len(h) - window + 1
     if starts <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    low, at = grams[:starts].copy(), np.arange(starts)
+    span = window - gram + 1
+    low = grams[:starts].copy()
     for j in range(1, span):
-        other = grams[j : j + starts]
-        less = other < low
-        low[less] = other[less]
-        at[less] += (j - (at - np.arange(starts)))[less]
+        np.minimum(low, grams[j : j + starts], out=low)
     ends = np.repeat(np.cumsum(lengths), lengths)[:starts]
-    whole = np.arange(starts) + window <= ends
-    places = np.unique(at[whole])
+    low[np.arange(starts) + window > ends] = 0
+    hit = np.zeros(len(grams), bool)
+    for j in range(span):
+        hit[j : j + starts] |= low == grams[j : j + starts]
+    places = np.flatnonzero(hit)
     return places, grams[places]
 
 
@@ -96,10 +98,6 @@ def collapse(key: np.ndarray, doc: np.ndarray, extra: list[np.ndarray]) -> tuple
     return key, doc, extra, first, several
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(LAST).to_numpy(zero_copy_only=False)
-
-
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, for_run: bool, flush_rows: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """(key, doc, at): at is four times the place plus 0: to compare, 1: a candidate already, 2: for the run only."""
     words, held, n = Words(), [], 0
@@ -119,7 +117,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, for_
             places, keys = anchors(h, lengths, window, gram)
             starts = np.cumsum(lengths) - lengths
             owner = np.searchsorted(starts + lengths, places, "right")
-            held.append((keys, _ids(part.column("doc"))[owner], places - starts[owner]))
+            held.append((keys, part.column("ident").to_numpy(zero_copy_only=False)[owner], places - starts[owner]))
             n += len(places)
             if n >= flush_rows:
                 yield from flush()
@@ -148,120 +146,115 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = at & 3 == 1
         key, doc, (at, known), _, several = collapse(key, doc, [at, known])
         keep = several | known
-        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(at[keep] >> 2)], ["doc", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array((at[keep] >> 2).astype(np.int32))], ["doc", "at"])
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        tags = [xxhash.xxh3_64_intdigest(x or "") & 0xFFFF for x in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(tags, pa.int32()), pa.array([press((x or "").encode()) for x in texts], pa.binary())], ["doc", "tag", "z"])
+        yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("doc"), pa.array([press((x or "").encode()) for x in batch.column("text").to_pylist()], pa.binary())], ["ident", "doc", "z"])
 
 
 def _unpack(z: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(z).split() if z else []
+    return zstandard.ZstdDecompressor().decompress(z).split()
 
 
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-WINDOWS = "kind int, h long, doc long, v long, tag int, n long, sha string, z binary"
+OWNERS = "ident long, doc long, n long, sha string, z binary, places array<int>"
+
+
+def _finish_closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without candidates are finished: they get their digest and lose their bytes."""
+    for batch in batches:
+        n, shas, zs = [], [], []
+        for z, places in zip(batch.column("z").to_pylist(), batch.column("places").to_pylist()):
+            words = _unpack(z)
+            n.append(len(words))
+            shas.append(None if places else _digest(words))
+            zs.append(z if places else None)
+        yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("doc"), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(zs, pa.binary()), batch.column("places")], ["ident", "doc", "n", "sha", "z", "places"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, flush_rows: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """(doc, tag, z, places) -> kind 0: windows to compare; 1: windows known to be repeats; 2: finished documents; 3: documents to finish."""
+    """(ident, doc, z, places) -> (h, doc, ident, v) for each window around a candidate; v holds 31 bits of the
+    second hash, the place, and a last bit that says the window is known to be a repeat."""
     words, held, n = Words(), [], 0
-    names = [x.split()[0] for x in WINDOWS.split(", ")]
 
-    def rows(kind: int, h, doc, v) -> pa.RecordBatch:
-        m = len(h)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(h.view(np.int64)), pa.array(doc), pa.array(v.view(np.int64)), *(pa.nulls(m, t) for t in (pa.int32(), pa.int64(), pa.string(), pa.binary()))], names)
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        h, doc, v = (np.concatenate(x) for x in zip(*held))
-        # equal windows of one flush: verified by both hashes, then only the smallest document goes on
-        check = (v >> np.uint64(44)) ^ h
+    def flush() -> pa.RecordBatch:
+        h, doc, ident, v = (np.concatenate(x) for x in zip(*held))
+        check = v >> np.uint64(32)
         order = np.lexsort((doc, check, h))
-        h, doc, v, check = h[order], doc[order], v[order], check[order]
+        h, doc, ident, v, check = h[order], doc[order], ident[order], v[order], check[order]
         first = np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
         low = doc[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
         repeat = doc > low
-        yield rows(0, h[~repeat], doc[~repeat], v[~repeat])
-        if repeat.any():
-            yield rows(1, doc[repeat].view(np.uint64) * FACTORS[1], doc[repeat], v[repeat])
+        # a known repeat need not meet its like, so it goes anywhere
+        h = np.where(repeat, ident.view(np.uint64) * FACTORS[1], h)
+        v = v | repeat.astype(np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(ident), pa.array(v.view(np.int64))], ["h", "doc", "ident", "v"])
 
     for batch in batches:
+        idents, ids, places = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ident", "doc", "places"))
         docs = [_unpack(z) for z in batch.column("z").to_pylist()]
-        ids, tags, places = _ids(batch.column("doc")), batch.column("tag").to_pylist(), batch.column("places").to_pylist()
-        done = [i for i, p in enumerate(places) if not p]
-        open_ = [i for i, p in enumerate(places) if p]
-        for kind, some in ((2, done), (3, open_)):
-            if some:
-                m, null = len(some), pa.nulls
-                zs = null(m, pa.binary()) if kind == 2 else batch.column("z").take(pa.array(some))
-                shas = pa.array([_digest(docs[i]) for i in some]) if kind == 2 else null(m, pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), null(m, pa.int64()), pa.array(ids[some]), null(m, pa.int64()), pa.array([tags[i] for i in some], pa.int32()), pa.array([len(docs[i]) for i in some], pa.int64()), shas, zs], names)
-        if not open_:
-            continue
-        h, lengths = words.hashes([docs[i] for i in open_])
-        starts = np.cumsum(lengths) - lengths
-        near = np.zeros(len(h) + 1, np.int64)
-        for s, size, i in zip(starts.tolist(), lengths.tolist(), open_):
-            p = np.array(places[i], np.int64)
-            p = p[p + gram <= size]
-            np.add.at(near, s + np.maximum(p - (window - gram), 0), 1)
-            np.subtract.at(near, s + p + 1, 1)
-        first, second = rolling(h, window, FACTORS[0]), rolling(h, window, FACTORS[1])
-        at = np.flatnonzero(np.cumsum(near)[: len(first)] > 0)
-        owner = np.searchsorted(starts + lengths, at, "right")
-        inside = at + window <= (starts + lengths)[owner]
-        at, owner = at[inside], owner[inside]
-        tag = np.array([tags[i] for i in open_], np.uint64)
-        v = (second[at] >> np.uint64(44) << np.uint64(44)) | tag[owner] << np.uint64(28) | (at - starts[owner]).astype(np.uint64)
-        held.append((first[at], ids[open_][owner], v))
-        n += len(at)
-        if n >= flush_rows:
-            yield from flush()
-            held, n = [], 0
+        for i in range(0, len(docs), 500):
+            some = slice(i, i + 500)  # keeps the arrays small
+            h, lengths = words.hashes(docs[some])
+            starts = np.cumsum(lengths) - lengths
+            at = np.concatenate([s + p for s, p in zip(starts.tolist(), places[some])]).astype(np.int64)
+            owner = np.searchsorted(starts + lengths, at, "right")
+            near = np.zeros(len(h) + 1, np.int64)
+            np.add.at(near, np.maximum(at - (window - gram), starts[owner]), 1)
+            np.subtract.at(near, at + 1, 1)
+            first, second = rolling(h, window, FACTORS[0]), rolling(h, window, FACTORS[1])
+            at = np.flatnonzero(np.cumsum(near)[: len(first)] > 0)
+            owner = np.searchsorted(starts + lengths, at, "right")
+            inside = at + window <= (starts + lengths)[owner]
+            at, owner = at[inside], owner[inside]
+            v = second[at] >> np.uint64(33) << np.uint64(32) | (at - starts[owner]).astype(np.uint64) << np.uint64(1)
+            held.append((first[at], ids[some][owner], idents[some][owner], v))
+            n += len(at)
+            if n >= flush_rows:
+                yield flush()
+                held, n = [], 0
     if n:
-        yield from flush()
+        yield flush()
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (h, doc, v, kind) -> (doc, tag, at): windows that also start in a smaller document."""
-    for h, doc, v, kind in _runs(batches, 4):
+    """Rows of _window_rows sorted by h -> (ident, at): windows that also start in a smaller document."""
+    for h, doc, ident, v in _runs(batches, 4):
         u = v.view(np.uint64)
-        check = u >> np.uint64(44)
+        known = (u & np.uint64(1)).astype(bool)
+        check = u >> np.uint64(32)
         order = np.lexsort((doc, check, h))
-        h, doc, u, check, kind = h[order], doc[order], u[order], check[order], kind[order]
+        h, doc, ident, u, check, known = h[order], doc[order], ident[order], u[order], check[order], known[order]
         first = np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
-        open_low = np.where(kind == 0, doc, LAST)
-        low = np.minimum.reduceat(open_low, np.flatnonzero(first))[np.cumsum(first) - 1]
-        keep = (kind == 1) | (doc > low)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array((u[keep] >> np.uint64(28) & np.uint64(0xFFFF)).astype(np.int32)), pa.array((u[keep] & np.uint64((1 << 28) - 1)).astype(np.int32))], ["doc", "tag", "at"])
+        low = np.minimum.reduceat(np.where(known, LAST, doc), np.flatnonzero(first))[np.cumsum(first) - 1]
+        keep = known | (doc > low)
+        yield pa.RecordBatch.from_arrays([pa.array(ident[keep]), pa.array((u[keep] >> np.uint64(1) & np.uint64((1 << 31) - 1)).astype(np.int32))], ["ident", "at"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(ident, n, sha, z, places) -> what the smallest document of a text keeps."""
     for batch in batches:
-        n, removed, shas = [], [], []
+        removed, shas = [], []
         for size, sha, z, places in zip(*(batch.column(c).to_pylist() for c in ("n", "sha", "z", "places"))):
             gone = 0
             if sha is None:
                 words = _unpack(z)
                 cover = np.zeros(size + window + 1, np.int64)
-                for p in places or ():
-                    cover[p] += 1
-                    cover[p + window] -= 1
+                at = np.array(places or [], np.int64)
+                np.add.at(cover, at, 1)
+                np.subtract.at(cover, at + window, 1)
                 keep = np.cumsum(cover)[:size] == 0
                 gone = int(size - keep.sum())
                 sha = _digest([w for w, k in zip(words, keep.tolist()) if k])
-            n.append(size)
             removed.append(gone)
             shas.append(sha)
-        ids = pa.array([None if x == LAST else x for x in batch.column("doc").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("doc"), batch.column("n"), pa.array(removed, pa.int64()), pa.array(shas)], ["ident", "owner", "n_words", "n_removed", "kept_sha256"])
 
 
 class SubstringIndex:
@@ -292,40 +285,48 @@ class SubstringIndex:
         """Dedup batch against itself and all earlier batches; then, if keep, index it.
 
         corpus has doc_id and text of the batch and all earlier batches (the batch, if there were none).
-        A result row for each row of corpus whose id the batch has: doc_id, n_words, n_removed, kept_sha256.
-        Null texts have no words. Null ids are one document after all others. Rows repeating an id are
-        windows of one document, each with its own result. Other columns are ignored.
+        A result row for each row of the batch: doc_id, n_words, n_removed, kept_sha256.
+        Null texts have no words. Null ids are one document after all others. Rows repeating an id each have
+        their own result; they are one document, so none is a repeat of another. Other columns are ignored.
         """
         window, gram = self.window, self.gram
         n = partitions(self.spark)
-        doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
-        texts = batch.select(doc, F.col("text").cast("string").alias("text"))
+
+        def known(df: DataFrame) -> DataFrame:
+            text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+            return df.select(F.xxhash64(text).alias("ident"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"))
+
+        texts = known(batch)
         rows = texts.mapInArrow(lambda b: _anchor_rows(b, window, gram, keep), "key long, doc long, at long")
         history = self._read_runs()
         if keep:
             rows = staged(rows, "anchors")
         merged = rows.where(F.col("at").bitwiseAND(F.lit(3)) != 2) if keep else rows
         merged = merged if history is None else merged.unionByName(history)
-        shared = merged.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_merge, "doc long, at long")
-        places = shared.groupBy("doc").agg(F.collect_set("at").alias("places"))
-        every = texts if corpus is None else corpus.select(doc, F.col("text").cast("string").alias("text"))
-        packed = every.mapInArrow(_compress, "doc long, tag int, z binary")
-        found = packed.join(places, "doc", "left")
-        windows = staged(found.mapInArrow(lambda b: _window_rows(b, window, gram), WINDOWS), "windows", "kind")
-        pairs = windows.where("kind < 2").select("h", "doc", "v", "kind")
-        again = pairs.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeats, "doc long, tag int, at int")
-        covered = again.groupBy("doc", "tag").agg(F.collect_set("at").alias("places"))
-        open_ = windows.where("kind = 3").select("doc", "tag", "n", "sha", "z").join(covered, ["doc", "tag"], "left")
-        closed = windows.where("kind = 2").select("doc", "tag", "n", "sha", "z", F.lit(None).cast("array<int>").alias("places"))
-        if corpus is not None:
-            own = batch.select(doc).distinct()
-            open_, closed = open_.join(own, "doc", "left_semi"), closed.join(own, "doc", "left_semi")
+        shared = merged.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_merge, "doc long, at int")
+        places = shared.groupBy("doc").agg(F.collect_set("at").alias("places")).withColumnRenamed("doc", "ident")
+        every = texts if corpus is None else known(corpus)
+        packed = every.mapInArrow(_compress, "ident long, doc long, z binary")
+        owners = packed.groupBy("ident").agg(F.min("doc").alias("doc"), F.first("z").alias("z"))
+        found = staged(owners.join(places, "ident", "left").mapInArrow(_finish_closed, OWNERS), "owners")
+        windows = found.where("z is not null").select("ident", "doc", "z", "places").mapInArrow(lambda b: _window_rows(b, window, gram), "h long, doc long, ident long, v long")
+        again = windows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeats, "ident long, at int")
+        covered = again.groupBy("ident").agg(F.collect_set("at").alias("places"))
+        open_ = found.where("z is not null").drop("places").join(covered, "ident", "left")
+        closed = found.where("z is null").withColumn("places", F.lit(None).cast("array<int>"))
+        done = open_.unionByName(closed).mapInArrow(lambda b: _remove(b, window), "ident long, owner long, n_words long, n_removed long, kept_sha256 string")
         if keep:
             self._write_run(rows.where(F.col("at").bitwiseAND(F.lit(3)) != 1))
-        out = open_.select("doc", "tag", "n", "sha", "z", "places").unionByName(closed)
-        if keep and len(self.runs) >= self.fanout:
-            self.compact()
-        return out.mapInArrow(lambda b: _remove(b, window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+            if len(self.runs) >= self.fanout:
+                self.compact()
+        own = texts.select("doc", "ident")
+        again_ = (F.col("doc") != F.col("owner")) & (F.col("n_words") >= window)
+        return own.join(done, "ident").select(
+            F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"),
+            "n_words",
+            F.when(again_, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
+            F.when(again_, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        )
 
 
 def substring_dedup(docs: DataFrame, **options) -> DataFrame:
