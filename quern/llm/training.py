@@ -20,7 +20,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(crc_mod(F.col("doc_id"), mod) != held)
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(max_docs))
-    rows = docs.join(chosen, docs["doc_id"].cast("long") == chosen["_id"]).select("_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(chosen, "_id").select("_id", "text", "y")
     so_far = W.partitionBy(F.lit(0)).orderBy(F.xxhash64("_id"), "_id", "text")  # over max_docs rows
     rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_id").orderBy("text"))).where("_n = 1")
     rows = rows.withColumn("_chars", F.sum(F.length("text")).over(so_far)).where(F.col("_chars") <= max_chars)
