@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,12 +44,12 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a staged table that no later plan reads."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(f)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def release(spark: SparkSession) -> None:
+    """Give back what nobody holds any more now rather than at some later collection: the driver's memory, and the
+    shuffle files of finished plans."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import partitions, scratch, slices, staged
+from quern.llm._common import partitions, release, scratch, slices, staged
 
 LAST = (1 << 63) - 1  # stands for a null id: one document after all others
 FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
@@ -297,18 +297,22 @@ class SubstringIndex:
             return df.select(F.xxhash64(text).alias("ident"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"))
 
         texts = known(batch)
-        rows = texts.mapInArrow(lambda b: _anchor_rows(b, window, gram, keep), "key long, doc long, at long")
-        history = self._read_runs()
-        if keep:
-            rows = staged(rows, "anchors")
-        merged = rows.where(F.col("at").bitwiseAND(F.lit(3)) != 2) if keep else rows
-        merged = merged if history is None else merged.unionByName(history)
-        shared = merged.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_merge, "doc long, at int")
-        places = shared.groupBy("doc").agg(F.collect_set("at").alias("places")).withColumnRenamed("doc", "ident")
-        every = texts if corpus is None else known(corpus)
-        packed = every.mapInArrow(_compress, "ident long, doc long, z binary")
-        owners = packed.groupBy("ident").agg(F.min("doc").alias("doc"), F.first("z").alias("z"))
-        found = staged(owners.join(places, "ident", "left").mapInArrow(_finish_closed, OWNERS), "owners")
+        anchored = staged(texts.mapInArrow(lambda b: _anchor_rows(b, window, gram, True), "key long, doc long, at long"), "anchors") if keep else None
+
+        def candidates() -> DataFrame:
+            """Distinct texts with the places of their candidates; what it shuffles is dropped when it returns."""
+            rows = texts.mapInArrow(lambda b: _anchor_rows(b, window, gram, False), "key long, doc long, at long")
+            merged = rows if anchored is None else anchored.where(F.col("at").bitwiseAND(F.lit(3)) != 2)
+            history = self._read_runs()
+            merged = merged if history is None else merged.unionByName(history)
+            shared = merged.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_merge, "doc long, at int")
+            places = shared.groupBy("doc").agg(F.collect_set("at").alias("places")).withColumnRenamed("doc", "ident")
+            packed = (texts if corpus is None else known(corpus)).mapInArrow(_compress, "ident long, doc long, z binary")
+            owners = packed.groupBy("ident").agg(F.min("doc").alias("doc"), F.first("z").alias("z"))
+            return staged(owners.join(places, "ident", "left").mapInArrow(_finish_closed, OWNERS), "owners")
+
+        found = candidates()
+        release(self.spark)
         windows = found.where("z is not null").select("ident", "doc", "z", "places").mapInArrow(lambda b: _window_rows(b, window, gram), "h long, doc long, ident long, v long")
         again = windows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeats, "ident long, at int")
         covered = again.groupBy("ident").agg(F.collect_set("at").alias("places"))
@@ -316,7 +320,7 @@ class SubstringIndex:
         closed = found.where("z is null").withColumn("places", F.lit(None).cast("array<int>"))
         done = open_.unionByName(closed).mapInArrow(lambda b: _remove(b, window), "ident long, owner long, n_words long, n_removed long, kept_sha256 string")
         if keep:
-            self._write_run(rows.where(F.col("at").bitwiseAND(F.lit(3)) != 1))
+            self._write_run(anchored.where(F.col("at").bitwiseAND(F.lit(3)) != 1))
             if len(self.runs) >= self.fanout:
                 self.compact()
         own = texts.select("doc", "ident")
