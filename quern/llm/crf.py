@@ -97,24 +97,26 @@ class CRF:
     weights: np.ndarray = field(default=None)
     trans: np.ndarray = field(default=None)
 
-    def fit(self, features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, *, epochs: int = 60, rate: float = 0.2, l2: float = 1e-4, weight: np.ndarray | None = None) -> CRF:
+    def fit(self, features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, *, epochs: int = 60, rate: float = 0.2, l2: float = 1e-4) -> CRF:
         """Full-batch Adam on the log likelihood. features: (positions, k) feature numbers, -1 for none."""
         lengths = np.asarray(lengths, np.int64)
-        valid = features >= 0
-        cells, rows = features[valid], np.nonzero(valid)[0]
+        columns = [(np.flatnonzero(f >= 0), f) for f in features.T]
+        columns = [(at, f[at].astype(np.int64)) for at, f in columns]
         w, t = np.zeros(self.size), np.zeros((2, 2))
         keep = np.ones(len(labels), bool)
         keep[np.cumsum(lengths)[lengths > 0] - 1] = False
         at = np.flatnonzero(keep)
-        seen = np.bincount(labels[at] * 2 + labels[at + 1], minlength=4).reshape(2, 2)
+        seen = np.bincount(labels[at] * 2 + labels[np.minimum(at + 1, len(labels) - 1)], minlength=4).reshape(2, 2)
         n = max(1, len(labels))
-        scale = np.ones(len(labels)) if weight is None else weight
         m = [np.zeros_like(w), np.zeros_like(t)]
         v = [np.zeros_like(w), np.zeros_like(t)]
         for k in range(1, epochs + 1):
-            u = np.bincount(rows, w[cells], len(labels))
+            u = np.zeros(len(labels))
+            for rows, cells in columns:
+                u[rows] += w[cells]
             marginal, p, q = forward_backward(u, lengths, t)
-            gw = np.bincount(cells, ((labels - marginal) * scale)[rows], self.size) / n - l2 * w
+            left = labels - marginal
+            gw = sum(np.bincount(cells, left[rows], self.size) for rows, cells in columns) / n - l2 * w
             gt = (seen - pair_marginals(u, lengths, t, p, q)) / n - l2 * t
             for i, (x, g) in enumerate(((w, gw), (t, gt))):
                 m[i] = 0.9 * m[i] + 0.1 * g
@@ -124,7 +126,11 @@ class CRF:
         return self
 
     def scores(self, features: np.ndarray) -> np.ndarray:
-        return np.where(features >= 0, self.weights[features], 0.0).sum(1)
+        """A position's score, a feature column at a time."""
+        out = np.zeros(len(features))
+        for f in features.T:
+            out += np.where(f >= 0, self.weights[f], 0.0)
+        return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 30) -> np.ndarray:

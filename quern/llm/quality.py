@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import crc_mod, slices
+from quern.llm._common import crc_mod, release, slices
 from quern.llm.crf import CRF, fit_logistic, forward_backward, logistic
 from quern.llm.training import labelled_sample
 
@@ -93,7 +93,7 @@ class Model:
         """Numbers of the bins of a line's own, previous and next line's measures; -1 at the ends; the last is the bias."""
         block = MEASURES * BINS
         own = np.stack([np.searchsorted(self.cuts[j], x[:, j], "right") + j * BINS for j in range(MEASURES)], 1) if len(x) else np.zeros((0, MEASURES), np.int64)
-        out = np.full((len(x), 3 * MEASURES + 1), -1)
+        out = np.full((len(x), 3 * MEASURES + 1), -1, np.int16)
         out[:, -1] = 3 * block
         out[:, :MEASURES] = own
         inner = np.ones(len(x), bool)
@@ -130,11 +130,10 @@ def train(docs: DataFrame, labels: DataFrame, *, mod: int = 3, held: int = 1, ma
     owner = np.repeat(np.arange(len(texts)), lengths)
     truth = y[owner]
     if 0 < truth.sum() < len(truth):
-        block = MEASURES * BINS
-        wide = np.zeros((len(x), block))
-        np.put_along_axis(wide, features[:, :MEASURES], 1.0, 1)
-        first = logistic(wide, fit_logistic(wide, truth.astype(float)))
-        good = np.where(truth == 0, first > 0.5, True)
+        # without neighbours in a sequence the field is a logistic model of single lines
+        own = features[:, [*range(MEASURES), -1]]
+        single = CRF(size).fit(own, truth, np.ones(len(truth), np.int64), epochs=80, rate=0.2, l2=1e-5)
+        good = np.where(truth == 0, single.scores(own) > 0, True)
         all_good = np.bincount(owner, ~good, len(texts)) == 0
         truth = np.where((truth == 0) & all_good[owner], 0, good).astype(np.int64)
     model.crf = CRF(size).fit(features, truth, lengths, epochs=80, rate=0.2, l2=1e-5)
@@ -166,6 +165,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def good_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The documents that the classifier accepts, with all their columns: one pass, no join."""
     model = train(docs, labels, **options)
+    release(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
