@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -48,6 +50,8 @@ def release(spark: SparkSession) -> None:
     """Give back what nobody holds any more now rather than at some later collection: the driver's memory, and the
     shuffle files of finished plans."""
     gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
     pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
 
