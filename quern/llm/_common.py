@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Words are runs of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,18 +38,25 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and survives lost executors."""
-    path = scratch(df.sparkSession, name)
+    """Write df to the shared folder and read it back: lineage ends there and survives lost executors.
+
+    The shuffle files of the write go as soon as it ends.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Give back what nobody holds any more now rather than at some later collection: the driver's memory, and the
-    shuffle files of finished plans."""
+    """Give back the driver's memory that nobody holds any more now rather than at some later collection."""
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -22,6 +22,7 @@ travel compressed. Nothing is capped: very frequent anchors or windows cost rows
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,30 +32,58 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import partitions, release, scratch, slices, staged
+from quern.llm._common import partitions, scratch, slices, staged
 
 LAST = (1 << 63) - 1  # stands for a null id: one document after all others
 FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
-class Words:
-    """64-bit hashes of words, remembered for the frequent ones."""
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+NEXT_SPACE = re.compile(rb"[ \t-\r]")
+LONGEST = 64  # words of more bytes are hashed one by one
 
-    def __init__(self, limit: int = 300_000):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
 
-    def hashes(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of every word, end to end; lengths)."""
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        for words in docs:
-            for w in set(words).difference(known):
-                known[w] = digest(w)
-        lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-        out = np.fromiter((h for words in docs for h in map(known.__getitem__, words)), np.uint64, int(lengths.sum()))
-        if len(known) > self.limit:
-            known.clear()
-        return out, lengths
+def _letters() -> np.ndarray:
+    """A random value for each byte at each place of a word; none for white space."""
+    x = np.arange(1, LONGEST * 256 + 1, dtype=np.uint64) * FACTORS[0]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    x.reshape(LONGEST, 256)[:, SPACE] = 0
+    return x
+
+
+LETTERS = _letters()
+
+
+def _piece(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first bytes) of the words of a piece, which white space ends: the sum of their letters' values."""
+    white = SPACE[b]
+    before = np.concatenate(([True], white[:-1]))
+    starts = np.flatnonzero(before & ~white)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    ends = np.flatnonzero(white & ~before)
+    at = np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
+    np.minimum(at, LONGEST - 1, out=at)
+    h = np.add.reduceat(LETTERS[at * 256 + b[starts[0] :]], starts - starts[0])
+    for i in np.flatnonzero(ends - starts > LONGEST).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(b[starts[i] : ends[i]].tobytes())
+    return h, starts
+
+
+def word_hashes(texts: list[bytes], piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word, end to end; number of words of each text)."""
+    buf = b"\n".join([*texts, b""])
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(buf):
+        end = len(buf) if at + piece >= len(buf) else NEXT_SPACE.search(buf, at + piece).end()
+        h, first = _piece(np.frombuffer(buf, np.uint8, end - at, at))
+        hashes.append(h)
+        starts.append(first + at)
+        at = end
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), bounds))
 
 
 def rolling(h: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
@@ -100,7 +129,7 @@ def collapse(key: np.ndarray, doc: np.ndarray, extra: list[np.ndarray]) -> tuple
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, for_run: bool, flush_rows: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """(key, doc, at): at is four times the place plus 0: to compare, 1: a candidate already, 2: for the run only."""
-    words, held, n = Words(), [], 0
+    held, n = [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         key, doc, (pos,), first, several = collapse(*(np.concatenate(x) for x in list(zip(*held))[:2]), [np.concatenate([x[2] for x in held])])
@@ -112,8 +141,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, for_
 
     for batch in batches:
         for part in slices(batch, "text"):
-            docs = [(x or "").encode().split() for x in part.column("text").to_pylist()]
-            h, lengths = words.hashes(docs)
+            h, lengths = word_hashes(part.column("text").cast(pa.binary()).fill_null(b"").to_pylist())
             places, keys = anchors(h, lengths, window, gram)
             starts = np.cumsum(lengths) - lengths
             owner = np.searchsorted(starts + lengths, places, "right")
@@ -155,8 +183,8 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("doc"), pa.array([press((x or "").encode()) for x in batch.column("text").to_pylist()], pa.binary())], ["ident", "doc", "z"])
 
 
-def _unpack(z: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(z).split()
+def _unpack(z: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(z)
 
 
 def _digest(words: list[bytes]) -> str:
@@ -171,7 +199,7 @@ def _finish_closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         n, shas, zs = [], [], []
         for z, places in zip(batch.column("z").to_pylist(), batch.column("places").to_pylist()):
-            words = _unpack(z)
+            words = _unpack(z).split()
             n.append(len(words))
             shas.append(None if places else _digest(words))
             zs.append(z if places else None)
@@ -181,7 +209,7 @@ def _finish_closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _window_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, flush_rows: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """(ident, doc, z, places) -> (h, doc, ident, v) for each window around a candidate; v holds 31 bits of the
     second hash, the place, and a last bit that says the window is known to be a repeat."""
-    words, held, n = Words(), [], 0
+    held, n = [], 0
 
     def flush() -> pa.RecordBatch:
         h, doc, ident, v = (np.concatenate(x) for x in zip(*held))
@@ -201,7 +229,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, flus
         docs = [_unpack(z) for z in batch.column("z").to_pylist()]
         for i in range(0, len(docs), 500):
             some = slice(i, i + 500)  # keeps the arrays small
-            h, lengths = words.hashes(docs[some])
+            h, lengths = word_hashes(docs[some])
             starts = np.cumsum(lengths) - lengths
             at = np.concatenate([s + p for s, p in zip(starts.tolist(), places[some])]).astype(np.int64)
             owner = np.searchsorted(starts + lengths, at, "right")
@@ -244,7 +272,7 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         for size, sha, z, places in zip(*(batch.column(c).to_pylist() for c in ("n", "sha", "z", "places"))):
             gone = 0
             if sha is None:
-                words = _unpack(z)
+                words = _unpack(z).split()
                 cover = np.zeros(size + window + 1, np.int64)
                 at = np.array(places or [], np.int64)
                 np.add.at(cover, at, 1)
@@ -299,23 +327,19 @@ class SubstringIndex:
         texts = known(batch)
         anchored = staged(texts.mapInArrow(lambda b: _anchor_rows(b, window, gram, True), "key long, doc long, at long"), "anchors") if keep else None
 
-        def candidates() -> DataFrame:
-            """Distinct texts with the places of their candidates; what it shuffles is dropped when it returns."""
-            rows = texts.mapInArrow(lambda b: _anchor_rows(b, window, gram, False), "key long, doc long, at long")
-            merged = rows if anchored is None else anchored.where(F.col("at").bitwiseAND(F.lit(3)) != 2)
-            history = self._read_runs()
-            merged = merged if history is None else merged.unionByName(history)
-            shared = merged.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_merge, "doc long, at int")
-            places = shared.groupBy("doc").agg(F.collect_set("at").alias("places")).withColumnRenamed("doc", "ident")
-            packed = (texts if corpus is None else known(corpus)).mapInArrow(_compress, "ident long, doc long, z binary")
-            owners = packed.groupBy("ident").agg(F.min("doc").alias("doc"), F.first("z").alias("z"))
-            return staged(owners.join(places, "ident", "left").mapInArrow(_finish_closed, OWNERS), "owners")
-
-        found = candidates()
-        release(self.spark)
+        # each table written ends the shuffles before it, whose files then go
+        rows = texts.mapInArrow(lambda b: _anchor_rows(b, window, gram, False), "key long, doc long, at long")
+        merged = rows if anchored is None else anchored.where(F.col("at").bitwiseAND(F.lit(3)) != 2)
+        history = self._read_runs()
+        merged = merged if history is None else merged.unionByName(history)
+        shared = merged.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_merge, "doc long, at int")
+        places = staged(shared.groupBy("doc").agg(F.collect_set("at").alias("places")).withColumnRenamed("doc", "ident"), "places")
+        packed = (texts if corpus is None else known(corpus)).mapInArrow(_compress, "ident long, doc long, z binary")
+        owners = packed.groupBy("ident").agg(F.min("doc").alias("doc"), F.first("z").alias("z"))
+        found = staged(owners.join(places, "ident", "left").mapInArrow(_finish_closed, OWNERS), "owners")
         windows = found.where("z is not null").select("ident", "doc", "z", "places").mapInArrow(lambda b: _window_rows(b, window, gram), "h long, doc long, ident long, v long")
         again = windows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeats, "ident long, at int")
-        covered = again.groupBy("ident").agg(F.collect_set("at").alias("places"))
+        covered = staged(again.groupBy("ident").agg(F.collect_set("at").alias("places")), "covered")
         open_ = found.where("z is not null").drop("places").join(covered, "ident", "left")
         closed = found.where("z is null").withColumn("places", F.lit(None).cast("array<int>"))
         done = open_.unionByName(closed).mapInArrow(lambda b: _remove(b, window), "ident long, owner long, n_words long, n_removed long, kept_sha256 string")
