@@ -278,7 +278,7 @@ def _hits(s: SparkSession, d: str) -> DataFrame:
 
 
 query("collect_dedup_hits", cte() + "select doc_id, cast(max(tf) as double) as score from tf where term in ('er', 're') group by 1")(lambda s, d: hits.dedup_hits(_hits(s, d)))
-query("collect_idf_boost", cte() + "select src.doc_id, 1 + coalesce(tf, 0) * 1.5 as score from src left join (select * from tf where term = 'er') t using (doc_id)")(
+query("collect_idf_boost", cte() + "select src.doc_id, cast(1 + coalesce(tf, 0) * 1.5 as double) as score from src left join (select * from tf where term = 'er') t using (doc_id)")(
     lambda s, d: hits.collect(corpus(s, d), hits.idf_boost_scorer(tf_of(s, d).where("term = 'er'").select("doc_id", "tf"), 1.5))
 )
 query("collect_tf_map", cte() + "select src.doc_id, cast(coalesce(sum(tf), 0) as double) as score from src left join (select * from tf where term in ('er', 're')) t using (doc_id) group by 1")(
