@@ -31,7 +31,8 @@ def fingerprint(words: list[bytes], width: int) -> int:
     return int(_fingerprints([words], width)[0])
 
 
-def _fingerprints(docs: list[list[bytes]], width: int) -> np.ndarray:
+def shingle_hashes(docs: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all documents' shingles in a row, and how many each document has."""
     digest, hashes, counts = xxhash.xxh64_intdigest, [], []
     for words in docs:
         n = max(1, len(words) - width + 1) if words else 0
@@ -43,11 +44,18 @@ def _fingerprints(docs: list[list[bytes]], width: int) -> np.ndarray:
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
             starts = np.concatenate(([0], ends[:-1] + 1))
             hashes += [digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist())]
-    out = np.zeros(len(docs), np.uint64)
-    n = np.array(counts, np.int64)
+    return np.array(hashes, "<u8"), np.array(counts, np.int64)
+
+
+def _fingerprints(docs: list[list[bytes]], width: int) -> np.ndarray:
+    return majority(*shingle_hashes(docs, width))
+
+
+def majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if full.size:
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         sums = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(n[full])[:-1])), axis=0, dtype=np.int32)
         out[full] = np.packbits(2 * sums > n[full, None], axis=1, bitorder="little").reshape(-1, 8).copy().view("<u8").ravel()
     return out
