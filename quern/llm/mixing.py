@@ -64,6 +64,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 def mix(docs: DataFrame, *, weights=WEIGHTS, cap: float = 3.0, seed: int = 0, block_words: int = 4096, max_blocks: int = 4096, shards: int = 64, max_bytes: int = 8 << 20):
     """(plan, copies). plan has a row for each document: doc_id, source, size, source_size, target, taken,
+    words_drawn (what the shards drew of it),
     and copies a row for each draw of a document: doc_id, tie, source, size, pass, words, shard, place.
 
     Rows that repeat an id, source and size share their draws. Nulls: a null text has size 0, a null source is a source, a null
@@ -117,7 +118,11 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, cap: float = 3.0, seed: int = 0, bl
     copies = plan.where("size > 0").join(draws, ["src", "block"])
     words = F.when(F.col("pass") <= F.col("passes"), F.col("size")).otherwise(F.col("part"))
     copies = copies.select("doc_id", "tie", "source", "size", "pass", words.alias("words"), "shard", _hash(seed, F.lit("place"), "order", "pass").alias("place")).where("words > 0")
-    return plan.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "part", "tie"), copies
+    held = draws.groupBy("src", "block").agg(F.collect_list("pass").alias("held"))
+    plan = plan.join(F.broadcast(held) if total[1] <= 100_000 else held, ["src", "block"], "left")
+    whole = F.size(F.filter("held", lambda x: x <= F.col("passes")))
+    words_drawn = F.when(F.col("held").isNull(), F.lit(0)).otherwise(whole * F.col("size") + (F.size("held") - whole) * F.col("part")).cast("long")
+    return plan.select("doc_id", "source", "size", "source_size", "target", "taken", words_drawn.alias("words_drawn"), "passes", "part", "tie"), copies
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
@@ -144,4 +149,4 @@ def mixed_rows(docs: DataFrame, keep_plan: bool = False, **options) -> DataFrame
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, _ = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    return plan.select("doc_id", "size", "source_size", "target", F.col("words_drawn").alias("taken"))
