@@ -57,9 +57,37 @@ def test_exact_dedup(spark, docs):
 def test_directory_splits(spark):
     keys = spark.range(2000).select(F.xxhash64("id").alias("key"))
     d = exact_dedup.grow_directory(keys, 100)
-    sizes = keys.groupBy(exact_dedup.bucket_of(F.col("key"), d).alias("b")).count().collect()
-    assert max(r["count"] for r in sizes) <= 100 and sum(1 / (1 << depth) for _, depth in d.local) == 1
+    cells = d.cells(spark, 4)
+    assert cells.count() == 1 << d.depth and {r.owner for r in cells.collect()} == set(range(4))
+    filed = keys.withColumn("cell", exact_dedup.cell_of(F.col("key"), d.depth)).join(cells, "cell").groupBy("owner", "bucket").count().collect()
+    assert max(r["count"] for r in filed) <= 100 and sum(r["count"] for r in filed) == 2000
+    assert sum(1 / (1 << depth) for _, depth, _ in d.buckets) == 1 and {r.bucket: r["count"] for r in filed} == {i: n for i, (_, _, n) in enumerate(d.buckets) if n}
     assert exact_dedup.grow_directory(keys.where("key = 0"), 5).depth == 0
+    hot = spark.range(500).select(F.lit(7).cast("long").alias("key"))
+    assert max(n for _, _, n in exact_dedup.grow_directory(hot, 5, 8).buckets) == 500  # one key cannot be split
+
+
+def test_exact_index_on_files(spark, tmp_path):
+    """The registered query's operator: splits, owners, chains of collisions, hot keys, and the files it leaves."""
+    rows = [(i, f"Text {i % 300}" if i % 3 else "Hot one") for i in range(1500)] + [(5000, None), (5001, ""), (None, "TEXT 1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit("k"), "owner": F.lit(1), "body": F.lit(2), "rows": F.lit(0), "row": F.lit(9), "_id": F.lit(3)})
+    low = lambda t: (t or "").lower()
+    size = Counter(low(t) for _, t in rows)
+    top = {}
+    for i, t in rows:
+        top[low(t)] = max(top.get(low(t), -1), -1 if i is None else i)
+    for k, key in enumerate((F.xxhash64, lambda c: F.length(c).cast("long"))):
+        path = str(tmp_path / str(k))
+        index = exact_dedup.ExactIndex(docs, key=key, path=path)
+        got = index.lookup().collect()
+        assert sorted((str(g.doc_id), g.keep_id, g.group_size) for g in got) == sorted((str(i), top[low(t)], size[low(t)]) for i, t in rows)
+        buckets = spark.read.parquet(f"{path}/buckets")
+        assert index.hot is not None and buckets.where("hot").count() >= 1 and buckets.count() < len(rows)
+        assert buckets.select("bucket", "owner").distinct().count() == buckets.select("bucket").distinct().count()
+        assert (buckets.agg(F.max("links")).first()[0] > 1) == (k == 1)
+        assert k == 1 or index.directory.depth > 0
+        kept = exact_dedup.kept_rows(docs, key=key)
+        assert kept.columns == docs.columns and sorted((r.doc_id, r._id) for r in kept.collect()) == sorted((i, 3) for i in top.values())
 
 
 def test_mixing(spark, docs):
