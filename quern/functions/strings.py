@@ -17,7 +17,7 @@ FOLDS = {
 
 def lower_each(c: Column) -> Column:
     """Lower-case character by character: the two letters whose lower() depends on context or grows map alone."""
-    return F.lower(F.translate(c, "İΣ", "iσ"))
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.lower(F.translate(c, "İΣ", "iσ")))
 
 
 def normalize(c: Column) -> Column:

@@ -1,8 +1,9 @@
 """Text analysis: tokenizers, token filters and analyzers over DataFrames.
 
-Tokens are rows (doc_id, ord, term, start, end): `ord` numbers a document's tokens, offsets are bytes,
-`end` is exclusive. Everything is relational and stays in the JVM; windows run over one document.
-Any object with `rows(docs)`, or function of it, is a tokenizer; any with `apply(tokens)`, a filter.
+A document's terms are one array column: tokenizers make it from the text (`array`), filters change it
+(`array`), and nothing is shuffled until terms of different documents meet. Where byte offsets are asked
+for, tokens are rows (doc_id, ord, term, start, end) instead, `end` exclusive: tokenizers have `rows` and
+filters `apply` for them, and windows run over one document. All of it stays in the JVM.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quern.functions.arrays import counted, none, without_repeats
 from quern.functions.strings import fold_ascii, lower_each, normalize
 
 # The default English stopwords.
@@ -49,13 +51,21 @@ def _runs(docs: DataFrame, word: str, gap: str) -> DataFrame:
     return runs.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("run")) - 1).alias("ord"), "term", (F.col("end") - F.octet_length("term")).alias("start"), "end")
 
 
-def _terms(docs: DataFrame, word: str) -> DataFrame:
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(word), F.lit(0))
-    return docs.select("doc_id", F.posexplode(found).alias("ord", "term"))
+def exploded(docs: DataFrame, terms: Column) -> DataFrame:
+    """(doc_id, ord, term) of an array column. The outer form spares a filter that computes the array once more."""
+    return docs.select("doc_id", F.posexplode_outer(terms).alias("ord", "term")).where(F.col("term").isNotNull())
+
+
+class Tokenizer:
+    def array(self, text: Column) -> Column:
+        raise NotImplementedError
+
+    def rows(self, docs: DataFrame, offsets: bool = False) -> DataFrame:
+        return self._offsets(docs) if offsets else exploded(docs, self.array(F.coalesce("text", F.lit(""))))
 
 
 @dataclass(frozen=True)
-class SimpleTokenizer:
+class SimpleTokenizer(Tokenizer):
     """Runs of letters, decimal digits and underscores, each kind by its flag."""
 
     letters: bool = True
@@ -66,114 +76,160 @@ class SimpleTokenizer:
     def kinds(self) -> str:
         return r"\p{L}" * self.letters + r"\p{Nd}" * self.digits + "_" * self.underscore
 
-    def rows(self, docs: DataFrame, offsets: bool = False) -> DataFrame:
-        if not self.kinds:
-            return _terms(docs.where("false"), "x") if not offsets else _runs(docs.where("false"), "x", "y")
-        word, gap = f"[{self.kinds}]+", f"[^{self.kinds}]+"
-        return _runs(docs, word, gap) if offsets else _terms(docs, word)
+    def array(self, text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit(f"[{self.kinds}]+"), F.lit(0)) if self.kinds else none()
+
+    def _offsets(self, docs: DataFrame) -> DataFrame:
+        return _runs(docs, f"[{self.kinds}]+", f"[^{self.kinds}]+") if self.kinds else _runs(docs.where("false"), "x", "y")
 
 
 @dataclass(frozen=True)
-class WhitespaceTokenizer:
+class WhitespaceTokenizer(Tokenizer):
     """Runs of characters that are not Unicode blanks."""
 
-    def rows(self, docs: DataFrame, offsets: bool = False) -> DataFrame:
-        word, gap = r"[^\p{IsWhite_Space}]+", r"\p{IsWhite_Space}+"
-        return _runs(docs, word, gap) if offsets else _terms(docs, word)
+    def array(self, text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit(r"[^\p{IsWhite_Space}]+"), F.lit(0))
+
+    def _offsets(self, docs: DataFrame) -> DataFrame:
+        return _runs(docs, r"[^\p{IsWhite_Space}]+", r"\p{IsWhite_Space}+")
 
 
 @dataclass(frozen=True)
-class NGramTokenizer:
+class NGramTokenizer(Tokenizer):
     """All character n-grams of each simple token, sizes ascending; offsets are the token's."""
 
     min_n: int = 1
     max_n: int = 1
 
-    def rows(self, docs: DataFrame, offsets: bool = False) -> DataFrame:
+    @property
+    def bounds(self) -> tuple[int, int]:
         low = max(1, self.min_n)
-        high = max(low, self.max_n)
-        words = SimpleTokenizer().rows(docs, offsets).where(F.char_length("term") >= low)
+        return low, max(low, self.max_n)
+
+    def array(self, text: Column) -> Column:
+        low, high = self.bounds
+        words = F.filter(SimpleTokenizer().array(text), lambda w: F.char_length(w) >= low)
+        of_size = lambda w, n: F.transform(F.sequence(F.lit(1), F.char_length(w) - n + 1), lambda i: F.substring(w, i, n))
+        sizes = lambda w: F.sequence(F.lit(low), F.least(F.lit(high), F.char_length(w)))
+        return F.flatten(F.transform(words, lambda w: F.flatten(F.transform(sizes(w), lambda n: of_size(w, n)))))
+
+    def _offsets(self, docs: DataFrame) -> DataFrame:
+        low, high = self.bounds
+        words = SimpleTokenizer().rows(docs, True).where(F.char_length("term") >= low)
         sizes = F.sequence(F.lit(low), F.least(F.lit(high), F.char_length("term")))
         grams = words.withColumn("n", F.explode(sizes)).withColumn("at", F.explode(F.sequence(F.lit(1), F.char_length("term") - F.col("n") + 1)))
         order = F.row_number().over(W.partitionBy("doc_id").orderBy("ord", "n", "at")) - 1
-        rest = ["start", "end"] if offsets else []
-        return grams.select("doc_id", order.alias("new"), F.substring("term", F.col("at"), F.col("n")).alias("term"), *rest).withColumnRenamed("new", "ord")
+        return grams.select("doc_id", order.alias("new"), F.substring("term", F.col("at"), F.col("n")).alias("term"), "start", "end").withColumnRenamed("new", "ord")
 
 
-@dataclass(frozen=True)
-class Lowercase:
+class Changing:
+    """A filter that maps each term by `change`."""
+
+    def array(self, terms: Column) -> Column:
+        return F.transform(terms, self.change)
+
+    def apply(self, tokens: DataFrame) -> DataFrame:
+        return tokens.withColumn("term", self.change(F.col("term")))
+
+
+class Keeping:
+    """A filter that keeps the terms for which `keeps` holds; None: all."""
+
+    def array(self, terms: Column) -> Column:
+        return terms if self.keeps(F.lit("")) is None else F.filter(terms, self.keeps)
+
     def apply(self, tokens: DataFrame) -> DataFrame:
-        return tokens.withColumn("term", lower_each(F.col("term")))
+        kept = self.keeps(F.col("term"))
+        return tokens if kept is None else tokens.where(kept)
+
+
+@dataclass(frozen=True)
+class Lowercase(Changing):
+    def change(self, term: Column) -> Column:
+        return lower_each(term)
 
 
 @dataclass(frozen=True)
-class MinLength:
+class MinLength(Keeping):
     min: int = 1
 
-    def apply(self, tokens: DataFrame) -> DataFrame:
-        return tokens.where(F.char_length("term") >= max(1, self.min))
+    def keeps(self, term: Column) -> Column | None:
+        return F.char_length(term) >= max(1, self.min)
 
 
 @dataclass(frozen=True)
-class MaxLength:
+class MaxLength(Keeping):
     max: int = 0
 
-    def apply(self, tokens: DataFrame) -> DataFrame:
-        return tokens.where(F.char_length("term") <= self.max) if self.max > 0 else tokens
+    def keeps(self, term: Column) -> Column | None:
+        return F.char_length(term) <= self.max if self.max > 0 else None
 
 
 @dataclass(frozen=True)
-class Stopwords:
+class Stopwords(Keeping):
     words: frozenset[str] = STOPWORDS
 
-    def apply(self, tokens: DataFrame) -> DataFrame:
-        return tokens.where(~F.col("term").isin(*sorted(self.words))) if self.words else tokens
+    def keeps(self, term: Column) -> Column | None:
+        return ~term.isin(*sorted(self.words)) if self.words else None
 
 
 @dataclass(frozen=True)
 class DedupAdjacent:
     """Drop a token equal to the one before it in the stream as it is here."""
 
+    def array(self, terms: Column) -> Column:
+        return without_repeats(terms)
+
     def apply(self, tokens: DataFrame) -> DataFrame:
         before = F.lag("term").over(by_doc())
         return tokens.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col("term"))).drop("_before")
 
 
 @dataclass(frozen=True)
-class AsciiFold:
-    def apply(self, tokens: DataFrame) -> DataFrame:
-        return tokens.withColumn("term", fold_ascii(F.col("term")))
+class AsciiFold(Changing):
+    def change(self, term: Column) -> Column:
+        return fold_ascii(term)
 
 
 @dataclass(frozen=True)
-class Prefix:
+class Prefix(Keeping):
     prefix: str = ""
 
-    def apply(self, tokens: DataFrame) -> DataFrame:
-        return tokens.where(F.col("term").startswith(self.prefix)) if self.prefix else tokens
+    def keeps(self, term: Column) -> Column | None:
+        return term.startswith(self.prefix) if self.prefix else None
+
+
+class Analysis:
+    """What analyzers and pipelines share; `array` gives a text's terms, empty ones too."""
+
+    def terms(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, ord, term) without empty terms; one that a filter has emptied leaves a gap in ord."""
+        return exploded(docs, self.array(F.coalesce("text", F.lit("")))).where("term <> ''")
+
+    def list(self, text: Column) -> Column:
+        """The terms of a text as an array, without empty ones."""
+        return F.filter(self.array(F.coalesce(text, F.lit(""))), lambda x: x != "")
 
 
 @dataclass(frozen=True)
-class Analyzer:
+class Analyzer(Analysis):
     """A tokenizer and filters in order. The default ones: lower case, length, stopwords, adjacent repeats."""
 
     tokenizer: object = field(default_factory=SimpleTokenizer)
     filters: tuple = (Lowercase(), MinLength(1), Stopwords(), DedupAdjacent())
 
-    def stream(self, docs: DataFrame, offsets: bool = False) -> DataFrame:
-        """Tokens after all filters, with the order of the tokenizer; empty terms may remain."""
-        tokens = self.tokenizer.rows(docs, offsets) if offsets else self.tokenizer.rows(docs)
+    def array(self, text: Column) -> Column:
+        terms = self.tokenizer.array(text)
         for f in self.filters:
-            tokens = tokens if f is None else f.apply(tokens)
-        return tokens
-
-    def terms(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, ord, term) without empty terms."""
-        return self.stream(docs).where("term <> ''").select("doc_id", "ord", "term")
+            terms = terms if f is None else f.array(terms)
+        return terms
 
     def analyze(self, docs: DataFrame) -> DataFrame:
         """(doc_id, position, term, start, end); a filter that empties a term leaves a gap in the positions."""
-        tokens = self.stream(docs, offsets=True).withColumn("position", F.row_number().over(by_doc()) - 1)
+        tokens = self.tokenizer.rows(docs, True)
+        for f in self.filters:
+            tokens = tokens if f is None else f.apply(tokens)
+        tokens = tokens.withColumn("position", F.row_number().over(by_doc()) - 1)
         return tokens.where("term <> ''").select("doc_id", "position", "term", "start", "end")
 
 
@@ -182,48 +238,43 @@ IDENTITY = Analyzer(WhitespaceTokenizer(), (Lowercase(),))
 
 
 @dataclass(frozen=True)
-class Pipeline:
+class Pipeline(Analysis):
     """Analyzers in a chain: each gets the terms of the one before, joined by blanks. None at all: the default one."""
 
     stages: tuple = ()
 
-    def _input(self, docs: DataFrame) -> tuple[DataFrame, object]:
-        stages = [s for s in self.stages if s is not None] or ([] if self.stages else [DEFAULT])
-        if not stages:
-            return docs, None
-        for s in stages[:-1]:
-            joined = s.terms(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("t"))
-            docs = joined.select("doc_id", F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("text"))
-        return docs, stages[-1]
+    def _chain(self) -> list:
+        return [s for s in self.stages if s is not None] or ([] if self.stages else [DEFAULT])
 
-    def terms(self, docs: DataFrame) -> DataFrame:
-        docs, last = self._input(docs)
-        return docs.select("doc_id", F.lit(0).alias("ord"), F.lit("").alias("term")).where("false") if last is None else last.terms(docs)
+    def array(self, text: Column) -> Column:
+        stages = self._chain()
+        for s in stages[:-1]:
+            text = F.array_join(s.list(text), " ")
+        return stages[-1].array(text) if stages else none()
 
     def analyze(self, docs: DataFrame) -> DataFrame:
-        docs, last = self._input(docs)
-        return DEFAULT.analyze(docs.where("false")) if last is None else last.analyze(docs)
+        stages, text = self._chain(), F.coalesce("text", F.lit(""))
+        for s in stages[:-1]:
+            text = F.array_join(s.list(text), " ")
+        return (stages or [DEFAULT])[-1].analyze(docs.select("doc_id", text.alias("text")).where(F.lit(bool(stages))))
 
 
 def term_lists(docs: DataFrame, analyzer=DEFAULT, unique: bool = False) -> DataFrame:
     """(doc_id, terms array) for every document, in order; unique keeps first occurrences."""
-    lists = analyzer.terms(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("t"))
-    terms: Column = F.coalesce(F.transform("t", lambda x: x["term"]), F.array().cast("array<string>"))
-    return docs.select("doc_id").join(lists, "doc_id", "left").select("doc_id", (F.array_distinct(terms) if unique else terms).alias("terms"))
+    terms = analyzer.list(F.col("text"))
+    return docs.select("doc_id", (F.array_distinct(terms) if unique else terms).alias("terms"))
 
 
 def term_freq(docs: DataFrame, analyzer=DEFAULT) -> DataFrame:
-    """(doc_id, term, tf)."""
-    return analyzer.terms(docs).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """(doc_id, term, tf), counted in each document's array; rows that repeat an id are documents of their own."""
+    return docs.select("doc_id", F.inline_outer(counted(analyzer.list(F.col("text"))))).where(F.col("term").isNotNull())
 
 
 def count_tokens(docs: DataFrame, analyzer=DEFAULT) -> DataFrame:
     """(doc_id, length), 0 for documents without terms."""
-    counts = analyzer.terms(docs).groupBy("doc_id").agg(F.count("*").alias("length"))
-    return docs.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(0)).alias("length"))
+    return docs.select("doc_id", F.size(analyzer.list(F.col("text"))).cast("long").alias("length"))
 
 
 def has_term(docs: DataFrame, term: str, analyzer=DEFAULT) -> DataFrame:
     """(doc_id, has_term): whether a document's terms hold the normalized term."""
-    wanted = analyzer.terms(docs).where(F.col("term") == normalize(F.lit(term))).select("doc_id").distinct().withColumn("has_term", F.lit(True))
-    return docs.select("doc_id").join(wanted, "doc_id", "left").select("doc_id", F.coalesce("has_term", F.lit(False)).alias("has_term"))
+    return docs.select("doc_id", F.array_contains(analyzer.list(F.col("text")), normalize(F.lit(term))).alias("has_term"))

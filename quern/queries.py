@@ -76,7 +76,7 @@ def as_text(c) -> F.Column:
 # Analysis
 
 query("analyze_default_terms", cte() + "select doc_id, cast(position as bigint) as position, term from terms")(
-    lambda s, d: an.DEFAULT.terms(corpus(s, d)).select("doc_id", (F.row_number().over(an.by_doc()) - 1).cast("long").alias("position"), "term")
+    lambda s, d: an.DEFAULT.terms(corpus(s, d)).select("doc_id", F.col("ord").cast("long").alias("position"), "term")
 )
 query("analyze_unique_terms", cte() + "select doc_id, term from tf")(lambda s, d: an.term_lists(corpus(s, d), unique=True).select("doc_id", F.explode("terms").alias("term")))
 query("analyze_term_freq", cte() + "select doc_id, term, tf from tf")(tf_of)
