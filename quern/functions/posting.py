@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.arrays import let
+
 
 class CorruptPosting(ValueError):
     """An encoded posting list that ends inside a number."""
@@ -27,6 +30,20 @@ def remove(a: Column, doc_id: Column) -> Column:
     return F.array_remove(a, doc_id)
 
 
+def removed(a: Column, doc_id: Column) -> Column:
+    """Whether `remove` takes something away."""
+    return F.array_contains(a, doc_id)
+
+
+def lowest(a: Column) -> Column:
+    """The first id; null for an empty list."""
+    return F.get(a, F.lit(0))
+
+
+def highest(a: Column) -> Column:
+    return F.get(a, F.size(a) - 1)
+
+
 def difference(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_except(a, b))
 
@@ -86,9 +103,15 @@ def deltas(a: Column) -> Column:
 
 
 def from_deltas(d: Column) -> Column:
-    """Running sums."""
-    last = lambda out: F.coalesce(F.get(out, F.size(out) - 1), F.lit(0).cast("long"))
-    return F.aggregate(d, F.array().cast("array<bigint>"), lambda out, x: F.concat(out, F.array(last(out) + x)))
+    """Running sums, by doubling: after the step for k every place holds the sum of up to 2k gaps."""
+
+    def step(k: int):
+        return lambda a: F.when(F.size(a) > k, F.transform(a, lambda x, i: x + F.when(i >= k, F.get(a, i - k)).otherwise(F.lit(0)))).otherwise(a)
+
+    out = d
+    for i in range(31):
+        out = let(out, step(1 << i))
+    return out
 
 
 def encoded_size(a: Column) -> Column:
@@ -96,50 +119,54 @@ def encoded_size(a: Column) -> Column:
     return F.when(F.coalesce(F.size(a), F.lit(0)) <= 0, 1).otherwise(8 + 3 * F.size(a))
 
 
-def _varint(n: int) -> bytes:
-    out = bytearray()
-    while n > 127:
-        out.append(n & 127 | 128)
-        n >>= 7
-    return bytes(out + bytes([n]))
+def _sizes(values: np.ndarray) -> np.ndarray:
+    """Bytes that each number takes in base 128."""
+    return 1 + sum((values >> np.uint64(7 * k) > 0).astype(np.int64) for k in range(1, 10))
 
 
 def encode_ids(ids) -> bytes:
     """Count, then gaps, as base-128 numbers, lowest part first."""
-    out, before = [_varint(len(ids))], 0
-    for x in ids:
-        out.append(_varint(int(x) - before))
-        before = int(x)
-    return b"".join(out)
+    ids = np.asarray(ids, np.int64).view(np.uint64)
+    values = np.concatenate((np.array([len(ids)], np.uint64), np.diff(ids, prepend=np.uint64(0)))) if len(ids) else np.zeros(1, np.uint64)
+    sizes = _sizes(values)
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+    parts = np.repeat(values, sizes) >> (at * 7).astype(np.uint64) & np.uint64(127)
+    last = np.zeros(ends[-1], bool)
+    last[ends - 1] = True
+    return np.where(last, parts, parts | np.uint64(128)).astype(np.uint8).tobytes()
 
 
 def decode_ids(data: bytes) -> list[int]:
     """Inverse; nothing decodes to no ids, and what follows the last id is ignored."""
-    at, total, out = 0, 0, []
-
-    def number() -> int:
-        nonlocal at
-        value = shift = 0
-        while True:
-            if at >= len(data) or shift > 63:
-                raise CorruptPosting("posting list ends inside a number")
-            value |= (data[at] & 127) << shift
-            shift, at = shift + 7, at + 1
-            if data[at - 1] < 128:
-                return value
-
-    for _ in range(number() if data else 0):
-        total += number()
-        out.append(total)
-    return out
+    if not data:
+        return []
+    b = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(b < 128)
+    count, first = 0, ends[0] + 1 if len(ends) else 0
+    for k in range(min(first, 10)):
+        count |= int(b[k] & 127) << 7 * k
+    if not len(ends) or first > 10 or len(ends) - 1 < count:
+        raise CorruptPosting("posting list ends inside a number")
+    if not count:
+        return []
+    ends = ends[: count + 1]
+    sizes = np.diff(ends)
+    if (sizes > 10).any():
+        raise CorruptPosting("posting list holds a number of over 64 bits")
+    starts = ends[:-1] + 1
+    at = np.arange(first, ends[-1] + 1) - np.repeat(starts, sizes)
+    parts = (b[first : ends[-1] + 1] & 127).astype(np.uint64) << (at * 7).astype(np.uint64)
+    gaps = np.bitwise_or.reduceat(parts, starts - first)
+    return np.cumsum(gaps).view(np.int64).tolist()
 
 
 def _raw(ids) -> bytes:
-    return b"".join(int(i).to_bytes(8, "little") for i in ids)
+    return np.asarray(ids, "<i8").tobytes()
 
 
 def _from_raw(data: bytes) -> list[int]:
-    return [int.from_bytes(data[i : i + 8], "little") for i in range(0, len(data), 8)] if len(data) % 8 == 0 else []
+    return np.frombuffer(data, "<i8").tolist() if len(data) % 8 == 0 else []
 
 
 def _column(f, returns: str, c: Column) -> Column:
@@ -193,3 +220,17 @@ class Cursor:
         while (x := self.peek()) is not None and x < doc_id:
             self._ahead = None
         return x
+
+
+def intersect_each(a: Cursor, b: Cursor, visit) -> None:
+    """Call visit with each common id in order, until it returns something false. Whichever cursor is behind seeks the other."""
+    while (x := a.peek()) is not None and (y := b.peek()) is not None:
+        if x == y:
+            if not visit(x):
+                return
+            a.next()
+            b.next()
+        elif x < y:
+            a.seek(y)
+        else:
+            b.seek(x)

@@ -1,7 +1,9 @@
 """SearchIndex: add, delete, flush, search. All data is in tables; the driver holds a manifest and unflushed single changes.
 
 Published state is what the manifest names. Every change writes new files first, then the manifest, and
-deletes old files last; so a crash leaves the old state or the new one, and files nobody names.
+deletes old files last; so a crash leaves the old state or the new one, and files nobody names. A batch of
+changes counts once its mark stands beside it in the log, with its rows' number and checksum, which are
+compared when the index is opened; a batch without a mark was cut short and is ignored.
 """
 
 from __future__ import annotations
@@ -13,11 +15,12 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.arrays import counted
 from quern.operators import segments as seg
 from quern.operators import stats
 from quern.operators.analysis import DEFAULT, count_tokens, term_freq, term_lists
 from quern.plans import compile as plan
-from quern.plans.query import Query, optimize, parse
+from quern.plans.query import Query, normal, optimize, parse
 from quern.sources import changes as log
 from quern.sources.store import Store
 
@@ -62,19 +65,29 @@ class SearchIndex:
         self.spark, self.options = spark, Options(**options)
         self.store = Store(spark, root)
         self.manifest = self.store.load_manifest()
-        self._batches: list[str] = [n for n in self.store.names("log") if n.isdigit() and int(n) >= self.manifest["log_from"]]
         self._single: list[tuple[int, int, int, str]] = []
-        self._seq = self.manifest["next_seq"]
+        self._batches: list[str] = []
         self.closed = False
-        for name in self.store.names("log"):
-            if name.endswith(".log") and int(name[:-4]) >= self.manifest["log_from"]:
+        self.recover()
+
+    def recover(self) -> None:
+        """Read what the log holds beyond the manifest. A torn or altered batch or record is an error, an unfinished one none."""
+        seq, self.last_batch = self.manifest["next_seq"], self.manifest["last_batch"]
+        names, first = self.store.names("log"), self.manifest["log_from"]
+        numbered = {n: int(n.split(".")[0]) for n in names if n.split(".")[0].isdigit()}
+        for name in (n for n, k in numbered.items() if k >= first):
+            if name.endswith(".log"):
                 for r in log.replay(self.store.read_bytes(f"log/{name}")):
                     self._single.append((r["seq"], r["op"], r["doc_id"], r["text"]))
-        self._seq = max([self._seq, *(x[0] + 1 for x in self._single)])
-        if self._batches:
-            self._seq = max(self._seq, self._logged().agg(F.max("seq")).first()[0] + 1)
-        names = [int(n.split(".")[0]) for n in self.store.names("log") if n.split(".")[0].isdigit()]
-        self._next_log = max([self.manifest["next_log"], *(n + 1 for n in names)])
+                    seq = max(seq, r["seq"] + 1)
+            elif name.endswith(".mark"):
+                mark, batch = json.loads(self.store.read_bytes(f"log/{name}")), name.removesuffix(".mark")
+                if log.fingerprint(self._logged([batch])) != tuple(mark["fingerprint"]):
+                    raise log.CorruptLog(f"batch {batch} is not what was logged", [])
+                self._batches.append(batch)
+                seq, self.last_batch = max(seq, mark["next_seq"]), max(self.last_batch, mark["stream_batch"])
+        self._seq = seq
+        self._next_log = max([self.manifest["next_log"], *(k + 1 for k in numbered.values())])
 
     open = classmethod(lambda cls, spark, root, **options: cls(spark, root, **options))
 
@@ -105,7 +118,7 @@ class SearchIndex:
             self.flush()
 
     def delete(self, doc_id: int) -> None:
-        """Delete one document; an unknown id is no error."""
+        """Delete one document; an unknown id is no error. `has_doc` tells beforehand whether there is one."""
         self._change(log.DELETE, doc_id, "")
 
     def _change(self, op: int, doc_id: int, text: str) -> None:
@@ -120,17 +133,29 @@ class SearchIndex:
         self._single.append((self._seq, op, doc_id, text))
         self._seq += 1
 
-    def apply(self, changes: DataFrame) -> None:
-        """Log a batch of changes (op, doc_id, text, and optionally seq within the batch). Ids that are null or not positive are refused."""
+    @property
+    def log_path(self) -> str:
+        """The folder of the change log."""
+        return self.store.full("log")
+
+    def apply(self, changes: DataFrame, stream_batch: int = -1) -> None:
+        """Log a batch of changes (op, doc_id, text, and optionally seq within the batch).
+
+        Without seq all changes of the batch are simultaneous: of several for one id, a delete counts, then
+        the largest text. Ids that are null or not positive are refused. An empty batch leaves only its mark.
+        """
         self._open()
-        seq = F.col("seq") if "seq" in changes.columns else F.monotonically_increasing_id()
-        rows = changes.select(seq.cast("long").alias("seq"), F.col("op").cast("int").alias("op"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(0).cast("long")
+        rows = changes.select(seq.alias("seq"), F.col("op").cast("int").alias("op"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         name = f"{self._next_log:012d}"
         checked = rows.withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")).otherwise(F.raise_error(F.lit("document ids are positive"))))
-        checked.withColumn("seq", F.col("seq") + self._seq).write.parquet(self.store.full(f"log/{name}"))
+        checked.withColumn("seq", F.col("seq") + self._seq).write.mode("overwrite").parquet(self.store.full(f"log/{name}"))
+        count, last, total = log.fingerprint(self._logged([name]))
+        mark = {"fingerprint": [count, last, total], "next_seq": max(self._seq, last + 1), "stream_batch": stream_batch}
+        self.store.write_bytes(f"log/{name}.mark", json.dumps(mark).encode())
         self._next_log += 1
         self._batches.append(name)
-        self._seq = self.spark.read.parquet(self.store.full(f"log/{name}")).agg(F.coalesce(F.max("seq"), F.lit(self._seq))).first()[0] + 1
+        self._seq, self.last_batch = mark["next_seq"], max(self.last_batch, stream_batch)
 
     def add_all(self, docs: DataFrame) -> None:
         """Insert or replace docs(doc_id, text) as one batch."""
@@ -141,8 +166,8 @@ class SearchIndex:
 
     # Reading
 
-    def _logged(self) -> DataFrame:
-        return self.spark.read.schema(log.SCHEMA).parquet(*[self.store.full(f"log/{n}") for n in self._batches])
+    def _logged(self, names: list[str] | None = None) -> DataFrame:
+        return self.spark.read.schema(log.SCHEMA).parquet(*[self.store.full(f"log/{n}") for n in names or self._batches])
 
     def changes(self) -> DataFrame:
         """Unflushed changes."""
@@ -171,7 +196,7 @@ class SearchIndex:
         docs = self._published(self._table("docs", DOCS)).select("doc_id", "text", "length")
         if self._single or self._batches:
             fresh = log.live(self.changes())
-            docs = docs.unionByName(fresh.join(count_tokens(fresh, self.options.analyzer), "doc_id").select("doc_id", "text", F.col("length").cast("long").alias("length")))
+            docs = docs.unionByName(fresh.select("doc_id", "text", F.size(self.options.analyzer.list(F.col("text"))).cast("long").alias("length")))
         return docs
 
     def live_tf(self) -> DataFrame:
@@ -181,7 +206,24 @@ class SearchIndex:
 
     def posting(self, term: str) -> DataFrame:
         """doc_id of the live documents with the normalized term."""
-        return self.live_tf().where(F.col("term") == term.strip().lower()).select("doc_id")
+        return self.live_tf().where(F.col("term") == normal(term)).select("doc_id")
+
+    def snapshot(self) -> Snapshot:
+        """The state as it is now; later changes do not show in it (until their flush or merge removes its files)."""
+        self._open()
+        return Snapshot(self.live_tf(), self.live_docs())
+
+    def segment(self, segment_id: int) -> Segment:
+        """One published segment, less its tombstones."""
+        meta = next(m for m in self.segment_metas() if m.id == segment_id)
+        dead = self.tombstones()
+        return Segment(meta, seg.alive(self._table("docs", DOCS, [segment_id]), dead), seg.alive(self._table("postings", POSTINGS, [segment_id]), dead))
+
+    def segments(self) -> seg.SegmentSet:
+        return seg.SegmentSet(self._table("docs", DOCS), self.tombstones(), self.segment_metas())
+
+    def has_doc(self, doc_id: int) -> bool:
+        return not self.live_docs().where(F.col("doc_id") == doc_id).isEmpty()
 
     def _ready(self, q: Query | str | None) -> Query:
         q = parse(q) if isinstance(q, str) else q
@@ -244,7 +286,8 @@ class SearchIndex:
         at = f"segments/{seg.dir_name(segment_id)}"
         one = F.lit(segment_id).cast("long").alias("segment_id")
         docs.select(one, "doc_id", "text", "length").write.mode("overwrite").parquet(self.store.full(f"{at}/docs"))
-        rows = tf.select(one, "doc_id", "term", "tf").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        # a term's rows lie together, those of a very frequent one in up to 16 files
+        rows = tf.select(one, "doc_id", "term", "tf").repartition("term", F.pmod(F.col("doc_id"), F.lit(16))).sortWithinPartitions("term", "doc_id")
         rows.write.mode("overwrite").parquet(self.store.full(f"{at}/postings"))
         live, postings = (self.spark.read.schema(s).parquet(self.store.full(f"{at}/{k}")) for k, s in (("docs", DOCS), ("postings", POSTINGS)))
         row = seg.metas(live, postings).first()
@@ -256,13 +299,14 @@ class SearchIndex:
         if not self._single and not self._batches:
             return
         m, segment_id = self.manifest, self.manifest["next_id"]
-        latest = log.latest(self.changes())
+        terms = self.options.analyzer.list(F.col("text"))
         name = f"segments/{seg.dir_name(segment_id)}/changes"
-        latest.write.mode("overwrite").parquet(self.store.full(name))
-        latest = self.spark.read.schema(log.SCHEMA).parquet(self.store.full(name))
-        fresh = latest.where(F.col("op") == log.ADD).select("doc_id", "text")
-        with_length = fresh.join(count_tokens(fresh, self.options.analyzer), "doc_id")
-        meta = self._write_segment(segment_id, with_length, term_freq(fresh, self.options.analyzer))
+        analysed = log.latest(self.changes()).withColumn("terms", F.when(F.col("op") == log.ADD, terms))
+        analysed = analysed.select("op", "doc_id", "text", F.size("terms").cast("long").alias("length"), counted(F.col("terms")).alias("counts"))
+        analysed.write.mode("overwrite").parquet(self.store.full(name))
+        latest = self.spark.read.schema(analysed.schema).parquet(self.store.full(name))
+        fresh = latest.where(F.col("op") == log.ADD)
+        meta = self._write_segment(segment_id, fresh.select("doc_id", "text", "length"), fresh.select("doc_id", F.inline("counts")))
         dead = seg.alive(self._table("docs", DOCS), self.tombstones()).join(latest.select("doc_id"), "doc_id", "left_semi").select("segment_id", "doc_id")
         tomb = f"{segment_id:016x}"
         dead.write.mode("overwrite").parquet(self.store.full(f"tombstones/{tomb}"))
@@ -275,6 +319,7 @@ class SearchIndex:
             "log_from": self._next_log,
             "next_log": self._next_log,
             "next_seq": self._seq,
+            "last_batch": self.last_batch,
         }
         self.store.save_manifest(done)
         consumed = [n for n in self.store.names("log") if n.split(".")[0].isdigit() and int(n.split(".")[0]) < self._next_log]
@@ -303,11 +348,59 @@ class SearchIndex:
         tf = seg.alive(self._table("postings", POSTINGS, ids), dead).groupBy("doc_id", "term").agg(F.max("tf").alias("tf"))
         meta = self._write_segment(target, docs, tf)
         rest = [vars(x) for x in seg.exclude_ids(metas, ids)]
-        done = self.manifest | {"next_id": target + 1, "segments": rest + ([vars(meta)] if meta else [])}
-        if not rest:
-            done["tombstones"] = []
+        # tombstones of what stays are written anew, so that they never outlive their segments
+        stays, old = [x["id"] for x in rest], self.manifest["tombstones"]
+        name = f"{target:016x}"
+        if stays and old:
+            dead.where(F.col("segment_id").isin(*stays)).coalesce(1).write.mode("overwrite").parquet(self.store.full(f"tombstones/{name}"))
+        done = self.manifest | {"next_id": target + 1, "segments": rest + ([vars(meta)] if meta else []), "tombstones": [name] if stays and old else []}
         self.store.save_manifest(done)
         self.manifest = done
         for x in ids:
             self.store.remove(f"segments/{seg.dir_name(x)}")
+        for x in old:
+            self.store.remove(f"tombstones/{x}")
         return True
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """tf(doc_id, term, tf) and docs(doc_id, text, length) of a moment."""
+
+    tf: DataFrame
+    docs: DataFrame
+
+    def posting(self, term: str) -> DataFrame:
+        """doc_id of the documents with exactly this term; it is not normalized."""
+        return self.tf.where(F.col("term") == term).select("doc_id")
+
+    def doc_count(self) -> int:
+        return self.docs.count()
+
+    def is_live(self, doc_id: int) -> bool:
+        return not self.docs.where(F.col("doc_id") == doc_id).isEmpty()
+
+
+@dataclass(frozen=True)
+class Segment:
+    """One published segment: its catalog entry, and its live documents and postings."""
+
+    meta: seg.Meta
+    docs: DataFrame
+    postings: DataFrame
+
+    def posting(self, term: str) -> DataFrame:
+        return self.postings.where(F.col("term") == term).select("doc_id")
+
+    def terms(self) -> DataFrame:
+        return self.postings.select("term").distinct()
+
+    def live_docs(self) -> DataFrame:
+        return self.docs.select("doc_id")
+
+    def is_live(self, doc_id: int) -> bool:
+        return not self.docs.where(F.col("doc_id") == doc_id).isEmpty()
+
+    def all_postings(self) -> DataFrame:
+        """(term, doc_id) for every live document's terms."""
+        return self.postings.select("term", "doc_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["segment_id", "doc_id"]
@@ -59,6 +59,62 @@ def exclude_ids(metas: list[Meta], ids: list[int]) -> list[Meta]:
     return [m for m in metas if m.id not in set(ids)]
 
 
+class SegmentSet:
+    """Segments by id, in the order in which they were added, over the tables live and tombstones of all of them."""
+
+    def __init__(self, live: DataFrame, tombstones: DataFrame, metas: list[Meta] = ()):
+        self.live, self.tombstones, self._metas = live, tombstones, [m for m in metas if m is not None]
+
+    def add(self, meta: Meta | None) -> None:
+        if meta is not None:
+            self._metas.append(meta)
+
+    def all(self) -> list[Meta]:
+        return list(self._metas)
+
+    def __len__(self) -> int:
+        return len(self._metas)
+
+    def ids(self) -> list[int]:
+        return sorted(m.id for m in self._metas)
+
+    def find(self, segment_id: int) -> Meta | None:
+        return next((m for m in self._metas if m.id == segment_id), None)
+
+    def remove(self, segment_id: int) -> bool:
+        """Whether there was one."""
+        before = len(self._metas)
+        self._metas = exclude_ids(self._metas, [segment_id])
+        return len(self._metas) < before
+
+    def total_docs(self) -> DataFrame:
+        """One row: how many documents live in any of the segments, each counted once."""
+        return estimate_merged(self.live.where(F.col("segment_id").isin(*self.ids())), self.tombstones)
+
+
+class Builder:
+    """Collects documents and their terms on the driver for a small segment; large ones come from `build` over tables."""
+
+    def __init__(self) -> None:
+        self._docs: dict[int, set[str]] = {}
+
+    def add_doc(self, doc_id: int, terms: list[str]) -> None:
+        """A document that is there already gets the terms as well."""
+        self._docs.setdefault(doc_id, set()).update(t for t in terms if t)
+
+    def delete_doc(self, doc_id: int) -> None:
+        self._docs.pop(doc_id, None)
+
+    def doc_count(self) -> int:
+        return len(self._docs)
+
+    def build(self, spark: SparkSession, segment_id: int) -> tuple[DataFrame, DataFrame]:
+        """(live, postings) of the segment."""
+        live = spark.createDataFrame([(segment_id, d) for d in self._docs], "segment_id long, doc_id long")
+        rows = [(segment_id, d, t) for d, terms in self._docs.items() for t in sorted(terms)]
+        return live, spark.createDataFrame(rows, "segment_id long, doc_id long, term string")
+
+
 def dir_name(segment_id: int) -> str:
     return f"seg-{segment_id:016x}"
 
@@ -92,6 +148,11 @@ def merge(live: DataFrame, postings: DataFrame, tombstones: DataFrame, target: i
     return docs, rows
 
 
+def estimate_merged(live: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """One row, docs: how many documents a merge would have."""
+    return alive(live, tombstones).agg(F.countDistinct("doc_id").alias("docs"))
+
+
 def dry_run(live: DataFrame, postings: DataFrame) -> DataFrame:
     """What a merge of all given segments would give: one row of counts and bounds."""
     one = F.lit(1).alias("one")

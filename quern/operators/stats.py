@@ -30,6 +30,11 @@ def top_terms(tf: DataFrame, k: int) -> DataFrame:
     return term_stats(tf).orderBy(F.desc("count"), "term").limit(max(0, k))
 
 
+def tf_in(tf: DataFrame, doc_id: int, term: str) -> DataFrame:
+    """One row, tf: how often a document has a term; 0 where it has it not."""
+    return doc_tf(tf).where((F.col("doc_id") == doc_id) & (F.col("term") == term)).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tf"))
+
+
 def combine(a: DataFrame, b: DataFrame) -> DataFrame:
     """Add up two (term, count, df) tables."""
     return a.unionByName(b).groupBy("term").agg(F.sum("count").alias("count"), F.sum("df").alias("df"))

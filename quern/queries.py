@@ -1,6 +1,8 @@
 """The engine's queries over the driver tables, each with the SQL that gives the same rows.
 
-Ids start at 0 in the tables and the engine refuses 0, so the corpus is `documents` with doc_id > 0.
+Ids start at 0 in the tables and the engine refuses 0, so the corpus is `documents` with ids larger by one.
+Analysis reads the texts; searches, statistics, posting lists and segments read a `SearchIndex` that the
+first of them builds in the shared folder and all later ones of the application open.
 """
 
 from __future__ import annotations
@@ -12,21 +14,27 @@ from pyspark.sql import functions as F
 
 from quern.functions import posting as post
 from quern.functions import strings
+from quern.index import SearchIndex
 from quern.operators import analysis as an
 from quern.operators import hits, stats
 from quern.operators import segments as seg
 from quern.plans import compile as plan
 from quern.plans.query import And, Not, Or, Query, Term, cost, optimize, parse
 from quern.sources import changes as log
+from quern.sources.store import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 STOP = ", ".join(f"'{w}'" for w in sorted(an.STOPWORDS))
 WORDS = r"[\p{L}\p{Nd}_]+"
+BLACK = r"[^\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-def cte(source: str = "select doc_id, text from documents where doc_id > 0") -> str:
+DOCS = "(select doc_id + 1 as doc_id, text from documents)"
+
+
+def cte(source: str = f"select * from {DOCS}") -> str:
     return f"""
 with src as ({source}),
 tok as (select doc_id, lower(unnest(w)) term, generate_subscripts(w, 1) pos from (select doc_id, regexp_extract_all(text, '{WORDS}') w from src)),
@@ -53,15 +61,43 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("doc_id > 0").select("doc_id", "text")
+    return table(spark, d, "documents").select((F.col("doc_id") + 1).alias("doc_id"), "text")
+
+
+_ROOTS: dict[tuple[str, str, str], str] = {}
+
+
+def _built(spark: SparkSession, d: str, kind: str, fill: Callable[[SearchIndex], None], **options) -> SearchIndex:
+    """The index of this kind over the tables in d, opened; the first caller of an application fills it."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _ROOTS:
+        root = scratch(spark, f"index-{kind}")
+        with SearchIndex(spark, root, **options) as index:
+            fill(index)
+        _ROOTS[key] = root
+    return SearchIndex(spark, _ROOTS[key], **options)
+
+
+def index_of(spark: SparkSession, d: str) -> SearchIndex:
+    """All of `documents` in one segment."""
+
+    def fill(index: SearchIndex) -> None:
+        index.add_all(corpus(spark, d))
+        index.flush()
+
+    return _built(spark, d, "corpus", fill)
 
 
 def tf_of(spark: SparkSession, d: str) -> DataFrame:
-    return an.term_freq(corpus(spark, d))
+    return index_of(spark, d).live_tf()
+
+
+def ids_of(spark: SparkSession, d: str) -> DataFrame:
+    return index_of(spark, d).live_docs().select("doc_id")
 
 
 def lengths_of(spark: SparkSession, d: str) -> DataFrame:
-    return an.count_tokens(corpus(spark, d))
+    return index_of(spark, d).live_docs().select("doc_id", "length")
 
 
 def list_sql(column: str) -> str:
@@ -79,12 +115,12 @@ query("analyze_default_terms", cte() + "select doc_id, cast(position as bigint)
     lambda s, d: an.DEFAULT.terms(corpus(s, d)).select("doc_id", F.col("ord").cast("long").alias("position"), "term")
 )
 query("analyze_unique_terms", cte() + "select doc_id, term from tf")(lambda s, d: an.term_lists(corpus(s, d), unique=True).select("doc_id", F.explode("terms").alias("term")))
-query("analyze_term_freq", cte() + "select doc_id, term, tf from tf")(tf_of)
-query("analyze_doc_length", cte() + "select doc_id, length from lens")(lengths_of)
+query("analyze_term_freq", cte() + "select doc_id, term, tf from tf")(lambda s, d: an.term_freq(corpus(s, d)))
+query("analyze_doc_length", cte() + "select doc_id, length from lens")(lambda s, d: an.count_tokens(corpus(s, d)))
 query("analyze_has_term", cte() + "select src.doc_id, src.doc_id in (select doc_id from tf where term = 'er') as has_term from src")(lambda s, d: an.has_term(corpus(s, d), "  ER "))
 query(
     "tokenize_simple_positions",
-    f"""with r as (select doc_id, regexp_extract_all(text, '{WORDS}|[^\\p{{L}}\\p{{Nd}}_]+') w from documents where doc_id > 0),
+    f"""with r as (select doc_id, regexp_extract_all(text, '{WORDS}|[^\\p{{L}}\\p{{Nd}}_]+') w from {DOCS}),
     e as (select doc_id, unnest(w) term, generate_subscripts(w, 1) run from r),
     o as (select *, sum(octet_length(encode(term))) over (partition by doc_id order by run) as fin from e)
     select doc_id, cast(row_number() over (partition by doc_id order by run) - 1 as bigint) as position, term,
@@ -93,8 +129,8 @@ query(
 )(lambda s, d: an.SimpleTokenizer().rows(corpus(s, d), True).select("doc_id", F.col("ord").cast("long").alias("position"), "term", F.col("start").cast("long").alias("start_byte"), F.col("end").cast("long").alias("end_byte")))
 query(
     "tokenize_whitespace",
-    r"""select doc_id, cast(generate_subscripts(w, 1) - 1 as bigint) as position, unnest(w) as term
-    from (select doc_id, regexp_extract_all(text, '[^\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+') w from documents where doc_id > 0)""",
+    f"""select doc_id, cast(generate_subscripts(w, 1) - 1 as bigint) as position, unnest(w) as term
+    from (select doc_id, regexp_extract_all(text, '{BLACK}') w from {DOCS})""",
 )(lambda s, d: an.WhitespaceTokenizer().rows(corpus(s, d)).select("doc_id", F.col("ord").cast("long").alias("position"), "term"))
 query(
     "tokenize_ngram",
@@ -131,7 +167,7 @@ query("pipeline_chain", _filter_sql(f"length(term) >= 3 and term not in ({STOP})
 )
 query(
     "analyze_identity",
-    r"""with t as (select doc_id, lower(unnest(regexp_extract_all(text, '[^\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'))) term from documents where doc_id > 0)
+    f"""with t as (select doc_id, lower(unnest(regexp_extract_all(text, '{BLACK}'))) term from {DOCS})
     select doc_id, term, count(*) as tf from t group by all""",
 )(lambda s, d: an.term_freq(corpus(s, d), an.IDENTITY))
 query("normalize", "select p_partkey, lower(trim(p_name)) as term from part")(lambda s, d: table(s, d, "part").select("p_partkey", strings.normalize(F.concat(F.lit("\t "), "p_name", F.lit("\n"))).alias("term")))
@@ -152,7 +188,7 @@ _ER, _RE = "select doc_id from tf where term = 'er'", "select doc_id from tf whe
 
 def _search(q: Query | str):
     q = parse(q) if isinstance(q, str) else optimize(q)
-    return lambda s, d: plan.matching(q, tf_of(s, d), corpus(s, d))
+    return lambda s, d: plan.matching(q, tf_of(s, d), ids_of(s, d))
 
 
 query("search_term", cte() + _ER)(_search(Term("ER ")))
@@ -168,7 +204,7 @@ query("search_parsed", cte() + f"select doc_id from src where doc_id in ({_ER})
 
 def _scored(q: Query, limit: int, scorer: str = "tf"):
     def run(s: SparkSession, d: str) -> DataFrame:
-        docs, tf = corpus(s, d), tf_of(s, d)
+        docs, tf = ids_of(s, d), tf_of(s, d)
         ids = plan.matching(q, tf, docs)
         if scorer == "const":
             return hits.collect(ids, None, limit)
@@ -207,40 +243,82 @@ def cost_estimate(s: SparkSession, d: str) -> DataFrame:
     q = And(Term("er"), Or(Term("re"), Term("die")), Not(Term("de")))
     wanted = tf_of(s, d).where(F.col("term").isin("er", "re", "die", "de"))
     df = {r["term"]: r["n"] for r in wanted.groupBy("term").agg(F.count("*").alias("n")).collect()}
-    return s.createDataFrame([(cost(q, df, corpus(s, d).count()),)], "cost long")
+    return s.createDataFrame([(cost(q, df, ids_of(s, d).count()),)], "cost long")
 
 
 # Posting lists
 
 
+BLOCK = 4096  # ids of a posting list that stand in one row together
+
+
 def _lists(s: SparkSession, d: str) -> DataFrame:
-    """One row: the lists of two terms."""
-    per_term = tf_of(s, d).where(F.col("term").isin("er", "re")).groupBy("term").agg(post.new(F.collect_list("doc_id")).alias("ids"))
-    pick = lambda t: F.max(F.when(F.col("term") == t, F.col("ids")))
-    return per_term.agg(pick("er").alias("a"), pick("re").alias("b"))
+    """The lists of two terms, a row for each block of ids: block, a, b."""
+    rows = tf_of(s, d).where(F.col("term").isin("er", "re")).select("term", "doc_id", F.floor(F.col("doc_id") / BLOCK).alias("block"))
+    per_term = rows.groupBy("term", "block").agg(post.new(F.collect_list("doc_id")).alias("ids"))
+    pick = lambda t: F.coalesce(F.max(F.when(F.col("term") == t, F.col("ids"))), F.array().cast("array<bigint>"))
+    return per_term.groupBy("block").agg(pick("er").alias("a"), pick("re").alias("b"))
+
+
+def _list_table(s: SparkSession, d: str, term: str) -> DataFrame:
+    return tf_of(s, d).where(F.col("term") == term).select("doc_id")
 
 
 def _ids(expression):
     return lambda s, d: _lists(s, d).select(F.explode(expression(F.col("a"), F.col("b"))).alias("doc_id"))
 
 
-query("postings_build", cte() + "select term, count(*) as n, min(doc_id) as low, max(doc_id) as high from tf group by 1")(
-    lambda s, d: tf_of(s, d).groupBy("term").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+query("postings_build", cte() + f"select term, doc_id // {BLOCK} as block, array_to_string(list(doc_id order by doc_id), ',') as ids from tf group by all")(
+    lambda s, d: tf_of(s, d).groupBy("term", F.floor(F.col("doc_id") / BLOCK).alias("block")).agg(as_text(post.new(F.collect_list("doc_id"))).alias("ids"))
 )
 query("posting_intersect", cte() + f"{_ER} intersect {_RE}")(_ids(post.intersect))
 query("posting_union", cte() + f"{_ER} union {_RE}")(_ids(post.union))
 query("posting_difference", cte() + f"{_ER} except {_RE}")(_ids(post.difference))
+query("posting_remove_set", cte() + f"{_RE} except {_ER}")(_ids(lambda a, b: post.remove_set(b, a)))
+query("posting_append_sorted", cte() + f"{_ER} union {_RE}")(_ids(post.append_sorted))
+query("posting_intersect_many", cte() + f"select * from ({_ER} intersect {_RE}) where doc_id <= 500")(_ids(lambda a, b: post.intersect_many(a, b, post.within(a, 1, 500))))
+query("posting_union_many", cte() + f"{_ER} union {_RE}")(_ids(lambda a, b: post.union_many(b, a, b)))
+query("posting_filter", cte() + f"select doc_id from ({_ER}) where doc_id % 3 = 0")(_ids(lambda a, b: post.keep(a, lambda x: x % 3 == 0)))
 query("posting_range", cte() + f"select doc_id from ({_ER}) where doc_id between 100 and 400")(_ids(lambda a, b: post.within(a, 100, 400)))
-query("posting_add_remove", cte() + f"select doc_id from (({_ER}) union (select 1)) where doc_id <> 2")(_ids(lambda a, b: post.remove(post.add(a, F.array(F.lit(1).cast("long"))), F.lit(2))))
+query("posting_add_remove", cte() + f"select doc_id from (({_ER}) union (select block * {BLOCK} + 1 from (select distinct doc_id // {BLOCK} as block from tf where term in ('er', 're')))) where doc_id <> 2")(
+    lambda s, d: _lists(s, d).select(F.explode(post.remove(post.add(F.col("a"), F.array(F.col("block") * BLOCK + 1)), F.lit(2))).alias("doc_id"))
+)
+query("posting_membership", cte() + f"""select b.block, coalesce(bool_or(t.doc_id = b.block * {BLOCK} + 7), false) as has, min(t.doc_id) as low, max(t.doc_id) as high, count(t.doc_id) as n, count(t.doc_id) filter (t.doc_id % {BLOCK} >= 300) as rest, coalesce(bool_or(t.doc_id = b.block * {BLOCK} + 9), false) as gone
+    from (select distinct doc_id // {BLOCK} as block from tf where term in ('er', 're')) b left join ({_ER}) t on t.doc_id // {BLOCK} = b.block group by 1""")(
+    lambda s, d: _lists(s, d).select(
+        "block", post.contains(F.col("a"), F.col("block") * BLOCK + 7).alias("has"), post.lowest(F.col("a")).alias("low"), post.highest(F.col("a")).alias("high"), F.size("a").cast("long").alias("n"),
+        post.remaining(F.col("a"), F.col("block") * BLOCK + 300).cast("long").alias("rest"), post.removed(F.col("a"), F.col("block") * BLOCK + 9).alias("gone"),
+    )
+)
+query("posting_equal", cte() + f"select bool_and(same) as same, bool_and(itself) as itself from (select b.block, list(t.doc_id order by doc_id) is not distinct from list(t.doc_id order by doc_id) filter (doc_id in ({_RE})) as same, true as itself from (select distinct doc_id // {BLOCK} as block from tf where term in ('er', 're')) b left join ({_ER}) t on t.doc_id // {BLOCK} = b.block group by 1)")(
+    lambda s, d: _lists(s, d).agg(F.bool_and(post.equal(F.col("a"), post.intersect(F.col("a"), F.col("b")))).alias("same"), F.bool_and(post.equal(F.col("a"), post.new(F.reverse("a")))).alias("itself"))
+)
 query("posting_overlap", cte() + f"select count(*) as n, (select min(doc_id) from ({_ER}) where doc_id >= 300) as seek from (({_ER}) intersect ({_RE}))")(
-    lambda s, d: _lists(s, d).select(post.overlap(F.col("a"), F.col("b")).cast("long").alias("n"), post.seek(F.col("a"), 300).alias("seek"))
+    lambda s, d: _lists(s, d).agg(F.sum(post.overlap(F.col("a"), F.col("b"))).alias("n"), F.min(post.seek(F.col("a"), 300)).alias("seek"))
 )
-query("posting_deltas", cte() + f"select pos, delta from (select row_number() over (order by doc_id) - 1 as pos, doc_id - lag(doc_id, 1, 0) over (order by doc_id) as delta from ({_ER}))")(
-    lambda s, d: _lists(s, d).select(F.posexplode(post.deltas(F.col("a"))).alias("pos", "delta")).select(F.col("pos").cast("long").alias("pos"), "delta")
+query("posting_deltas", cte() + f"select doc_id // {BLOCK} as block, row_number() over w - 1 as pos, doc_id - lag(doc_id, 1, 0) over w as delta from ({_ER}) window w as (partition by doc_id // {BLOCK} order by doc_id)")(
+    lambda s, d: _lists(s, d).select("block", F.posexplode(post.deltas(F.col("a"))).alias("pos", "delta")).select("block", F.col("pos").cast("long").alias("pos"), "delta")
 )
 query("posting_from_deltas", cte() + _ER)(_ids(lambda a, b: post.from_deltas(post.deltas(a))))
 query("posting_codec_round_trip", cte() + _RE)(_ids(lambda a, b: post.decode(post.encode(b))))
-query("posting_encoded_size", cte() + f"select 8 + 3 * count(*) as size from ({_ER})")(lambda s, d: _lists(s, d).select(post.encoded_size(F.col("a")).cast("long").alias("size")))
+query("posting_raw_round_trip", cte() + _ER)(_ids(lambda a, b: post.decode_raw(post.encode_raw(a))))
+query("posting_encoded_size", cte() + f"select b.block, case when count(t.doc_id) = 0 then 1 else 8 + 3 * count(t.doc_id) end as size from (select distinct doc_id // {BLOCK} as block from tf where term in ('er', 're')) b left join ({_ER}) t on t.doc_id // {BLOCK} = b.block group by 1")(
+    lambda s, d: _lists(s, d).select("block", post.encoded_size(F.col("a")).cast("long").alias("size"))
+)
+
+
+@query("posting_cursors", cte() + f"select doc_id from (({_ER}) intersect ({_RE})) order by doc_id limit 10")
+def posting_cursors(s: SparkSession, d: str) -> DataFrame:
+    """The first ten common ids: two cursors seek each other and stop there."""
+    found: list[int] = []
+
+    def visit(doc_id: int) -> bool:
+        found.append(doc_id)
+        return len(found) < 10
+
+    post.intersect_each(post.Cursor(_list_table(s, d, "er")), post.Cursor(_list_table(s, d, "re")), visit)
+    return s.createDataFrame([(x,) for x in found], "doc_id long")
+
 
 # Statistics and scores
 
@@ -262,7 +340,7 @@ def stats_snapshot(s: SparkSession, d: str) -> DataFrame:
 
 
 query("stats_idf", cte() + ", n as (select count(*) n from src) select term, round(ln((n + 1) / (count(*) + 1)) + 1, 6) as idf from tf, n group by term, n")(
-    lambda s, d: stats.term_stats(tf_of(s, d)).join(F.broadcast(corpus(s, d).agg(F.count("*").alias("n"))), F.lit(True)).select("term", F.round(stats.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    lambda s, d: stats.term_stats(tf_of(s, d)).join(F.broadcast(ids_of(s, d).agg(F.count("*").alias("n"))), F.lit(True)).select("term", F.round(stats.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 )
 query("stats_combine", cte() + "select term, cast(2 * sum(tf) as bigint) as count, cast(2 * count(*) as bigint) as df from tf group by 1")(lambda s, d: stats.combine(stats.term_stats(tf_of(s, d)), stats.term_stats(tf_of(s, d))))
 _BM25 = """, c as (select count(*) n, avg(length) mean from lens), f as (select term, count(*) df from tf where term in ('er', 're') group by 1)
@@ -279,19 +357,20 @@ def _hits(s: SparkSession, d: str) -> DataFrame:
 
 query("collect_dedup_hits", cte() + "select doc_id, cast(max(tf) as double) as score from tf where term in ('er', 're') group by 1")(lambda s, d: hits.dedup_hits(_hits(s, d)))
 query("collect_idf_boost", cte() + "select src.doc_id, cast(1 + coalesce(tf, 0) * 1.5 as double) as score from src left join (select * from tf where term = 'er') t using (doc_id)")(
-    lambda s, d: hits.collect(corpus(s, d), hits.idf_boost_scorer(tf_of(s, d).where("term = 'er'").select("doc_id", "tf"), 1.5))
+    lambda s, d: hits.collect(ids_of(s, d), hits.idf_boost_scorer(tf_of(s, d).where("term = 'er'").select("doc_id", "tf"), 1.5))
 )
 query("collect_tf_map", cte() + "select src.doc_id, cast(coalesce(sum(tf), 0) as double) as score from src left join (select * from tf where term in ('er', 're')) t using (doc_id) group by 1")(
-    lambda s, d: hits.collect(corpus(s, d), hits.multi_term_scorer(tf_of(s, d).where(F.col("term").isin("er", "re"))))
+    lambda s, d: hits.collect(ids_of(s, d), hits.multi_term_scorer(tf_of(s, d).where(F.col("term").isin("er", "re"))))
 )
-query("collect_filter_live", cte() + "select doc_id, cast(tf as double) as score from tf where term in ('er', 're') and doc_id in (select doc_id from labels)")(lambda s, d: hits.filter_live(_hits(s, d), table(s, d, "labels")))
+query("collect_filter_live", cte() + "select doc_id, cast(tf as double) as score from tf where term in ('er', 're') and doc_id in (select doc_id + 1 from labels)")(lambda s, d: hits.filter_live(_hits(s, d), table(s, d, "labels").select((F.col("doc_id") + 1).alias("doc_id"))))
+query("collect_sorted_by_id", cte() + "select doc_id, cast(tf as double) as score from tf where term in ('er', 're') order by doc_id")(lambda s, d: hits.sort_by_doc_id(_hits(s, d)))
 
 # Changes: documents are added, multiples of 7 deleted, multiples of 13 added again with other text
 
-_LOG = """with log as (
-  select doc_id as seq, 1 as op, doc_id, text from documents where doc_id > 0
-  union all select 1000000000 + doc_id, 2, doc_id, '' from documents where doc_id > 0 and doc_id % 7 = 0
-  union all select 2000000000 + doc_id, 1, doc_id, 'again ' || doc_id from documents where doc_id > 0 and doc_id % 13 = 0),
+_LOG = f"""with log as (
+  select doc_id as seq, 1 as op, doc_id, text from {DOCS}
+  union all select 1000000000 + doc_id, 2, doc_id, '' from {DOCS} where doc_id % 7 = 0
+  union all select 2000000000 + doc_id, 1, doc_id, 'again ' || doc_id from {DOCS} where doc_id % 13 = 0),
 latest as (select * from log qualify row_number() over (partition by doc_id order by seq desc) = 1)
 """
 
@@ -306,8 +385,15 @@ def _changes(s: SparkSession, d: str) -> DataFrame:
 query("upsert_latest", _LOG + "select doc_id, text from latest where op = 1")(lambda s, d: log.live(_changes(s, d)))
 query("pending_deletes", _LOG + "select doc_id from latest where op = 2")(lambda s, d: log.pending_deletes(_changes(s, d)))
 query("live_universe", _LOG + "select doc_id from latest where op = 1")(lambda s, d: log.live(_changes(s, d)).select("doc_id"))
-query("wal_replay", _LOG + "select case op when 1 then 'add' else 'delete' end as name, count(*) as n from log group by 1")(lambda s, d: log.valid(_changes(s, d)).groupBy(log.op_name(F.col("op")).alias("name")).agg(F.count("*").alias("n")))
-query("wal_crc32")(lambda s, d: corpus(s, d).select("doc_id", log.checksum(F.col("text")).alias("crc"), log.verified(F.col("text"), log.checksum(F.col("text"))).alias("ok")))
+query("wal_replay", _LOG + "select case op when 1 then 'add' else 'delete' end as name, seq, doc_id, text from log")(
+    lambda s, d: log.valid(log.replayed(log.frames(_changes(s, d)))).select(log.op_name(F.col("op")).alias("name"), "seq", "doc_id", "text")
+)
+_CRC = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+query(
+    "wal_crc32",
+    f"""with t as (select {_CRC} as crc), b as (select doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: cast('0x' || x as bigint)) as bytes from {DOCS})
+    select doc_id, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(crc[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) as crc, true as ok from b, t""",
+)(lambda s, d: corpus(s, d).select("doc_id", log.checksum(F.col("text")).alias("crc"), log.verified(F.col("text"), log.checksum(F.col("text"))).alias("ok")))
 
 
 @query(
@@ -315,7 +401,7 @@ query("wal_crc32")(lambda s, d: corpus(s, d).select("doc_id", log.checksum(F.col
     cte() + "select (select count(*) from src) as docs, (select count(distinct term) from tf) as terms, (select count(*) from src where doc_id % 7 = 0) as deletes, cast((select sum(octet_length(encode(text))) from src) + (select sum(b) from (select octet_length(encode(term)) + 8 * count(*) b from tf group by term)) as bigint) as approx_bytes",
 )
 def mem_buffer_stats(s: SparkSession, d: str) -> DataFrame:
-    docs = corpus(s, d)
+    docs = index_of(s, d).live_docs().select("doc_id", "text")
     return stats.buffer_stats(docs, tf_of(s, d), docs.where("doc_id % 7 = 0").select("doc_id"))
 
 
@@ -328,7 +414,7 @@ alive as (select * from live where doc_id % 5 <> 0), alive_post as (select * fro
 
 def _segments(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     one = (F.col("doc_id") % 8).alias("segment_id")
-    live = corpus(s, d).select(one, "doc_id")
+    live = ids_of(s, d).select(one, "doc_id")
     return live, tf_of(s, d).select(one, "doc_id", "term"), live.where("doc_id % 5 = 0")
 
 
@@ -353,6 +439,124 @@ query("needs_compaction", _SEG + "select count(*) >= 8 or count(*) filter (n < 3
     lambda s, d: s.createDataFrame([(seg.Policy().needs_compaction([seg.Meta(r["segment_id"], r["doc_count"], 0, 0, 0) for r in seg.metas(*_segments(s, d)[:2]).collect()]),)], "needed boolean")
 )
 
+query("merge_estimate", _SEG + "select count(distinct doc_id) as docs from alive where segment_id < 3")(lambda s, d: seg.estimate_merged(_segments(s, d)[0].where("segment_id < 3"), _segments(s, d)[2]))
+query("segment_set", _SEG + "select string_agg(distinct segment_id::varchar, ',' order by segment_id::varchar) as ids, count(distinct segment_id) as n, count(distinct doc_id) as docs from alive where segment_id not in (0, 7)")(lambda s, d: _segment_set(s, d))
+
+
+def _metas(s: SparkSession, d: str) -> list[seg.Meta]:
+    rows = seg.metas(*_segments(s, d)[:2]).collect()
+    return [seg.Meta(r["segment_id"], r["doc_count"], r["min_doc"], r["max_doc"], r["term_count"]) for r in rows]
+
+
+def _segment_set(s: SparkSession, d: str) -> DataFrame:
+    live, _, dead = _segments(s, d)
+    some = seg.SegmentSet(live, dead, [m for m in _metas(s, d) if m.id != 0])
+    some.remove(7)
+    ids = some.ids()
+    return some.total_docs().select(F.lit(",".join(map(str, ids))).alias("ids"), F.lit(len(some)).cast("long").alias("n"), "docs")
+
+
+@query("merge_plan", _SEG + "select segment_id as source, 100::bigint as target, segment_id not in (select segment_id from live group by 1 order by count(*), segment_id limit 2) as stays from live group by 1")
+def merge_plan(s: SparkSession, d: str) -> DataFrame:
+    metas = _metas(s, d)
+    ids, target = seg.Policy().plan(metas, 100)
+    rest = {m.id for m in seg.exclude_ids(metas, ids)}
+    return s.createDataFrame([(m.id, target, m.id in rest) for m in seg.select_ids(metas, [m.id for m in metas])], "source long, target long, stays boolean")
+
+
+@query("segment_build", cte() + "select 1::bigint as segment_id, doc_id, term from tf where doc_id <= 20 and doc_id % 2 = 1")
+def segment_build(s: SparkSession, d: str) -> DataFrame:
+    """A small segment from documents that are added one by one, some of them deleted again."""
+    builder = seg.Builder()
+    for r in an.term_lists(corpus(s, d).where("doc_id <= 20")).collect():
+        builder.add_doc(r["doc_id"], [*r["terms"], ""])
+        if r["doc_id"] % 2 == 0:
+            builder.delete_doc(r["doc_id"])
+    return seg.build(*builder.build(s, 1))
+
+
+# Indexes that change: all documents flushed, then the deletes and second versions of the log above
+
+_NOW = f"""select doc_id, text from (select * from (select 1 as seq, 1 as op, doc_id, text from {DOCS} union all select 2, 2, doc_id, '' from {DOCS} where doc_id % 7 = 0
+  union all select 3, 1, doc_id, 'er again er ' || doc_id from {DOCS} where doc_id % 13 = 0) qualify row_number() over (partition by doc_id order by seq desc) = 1) where op = 1"""
+
+
+def _second(s: SparkSession, d: str) -> DataFrame:
+    """Deletes, then second versions, as one batch."""
+    ids = corpus(s, d).select("doc_id")
+    row = lambda df, seq, op, text: df.select(F.lit(seq).alias("seq"), F.lit(op).alias("op"), "doc_id", text.alias("text"))
+    gone = row(ids.where("doc_id % 7 = 0"), 0, log.DELETE, F.lit(""))
+    return gone.unionByName(row(ids.where("doc_id % 13 = 0"), 1, log.ADD, F.concat(F.lit("er again er "), "doc_id")))
+
+
+def _changed(s: SparkSession, d: str, kind: str) -> SearchIndex:
+    """kind: logged (the second batch is in the log only), flushed (two segments) or merged (one again)."""
+
+    def fill(index: SearchIndex) -> None:
+        index.add_all(corpus(s, d))
+        index.flush()
+        index.apply(_second(s, d))
+        if kind != "logged":
+            index.flush()
+
+    return _built(s, d, kind, fill, merge_policy=seg.Policy(2 if kind == "merged" else 8, 10_000, 2 if kind == "merged" else 9))
+
+
+_HITS = cte(_NOW) + "select doc_id, cast(tf as double) as score from tf where term = 'er' and doc_id not in (select doc_id from tf where term = 're') order by score desc, doc_id limit 10000"
+query("index_search", _HITS)(lambda s, d: _changed(s, d, "flushed").search(" er AND NOT re"))
+query("index_search_unflushed", _HITS)(lambda s, d: _changed(s, d, "logged").search(And(Term("Er "), Not(Term("re")))))
+query("index_search_merged", _HITS)(lambda s, d: _changed(s, d, "merged").search("er and not (re or re)"))
+query("index_search_doc_ids", cte(_NOW) + "select distinct doc_id from tf where term in ('er', 're') order by 1")(lambda s, d: _changed(s, d, "flushed").search_doc_ids("er or re"))
+query("index_brute_force", cte(_NOW) + f"select doc_id from ({_ER}) where doc_id not in ({_RE})")(lambda s, d: _changed(s, d, "flushed").brute_force("er and not re"))
+query("index_delete", f"select doc_id, md5(text) as text_md5 from ({_NOW})")(lambda s, d: _changed(s, d, "flushed").live_docs().select("doc_id", F.md5("text").alias("text_md5")))
+query("index_reopen", cte(_NOW) + "select doc_id, term, tf from tf")(lambda s, d: _changed(s, d, "logged").live_tf())
+query("index_posting", cte(_NOW) + _ER)(lambda s, d: _changed(s, d, "logged").posting(" ER"))
+query("index_snapshot", cte(_NOW) + _ER)(lambda s, d: _changed(s, d, "flushed").snapshot().posting("er"))
+query("index_merge", cte(_NOW) + "select 3::bigint as segment_id, count(*) as doc_count, min(doc_id) as min_doc, max(doc_id) as max_doc, (select count(distinct term) from tf) as term_count from src")(
+    lambda s, d: s.createDataFrame([(m.id, m.doc_count, m.min_doc, m.max_doc, m.term_count) for m in _changed(s, d, "merged").segment_metas()], "segment_id long, doc_count long, min_doc long, max_doc long, term_count long")
+)
+query("index_segment", cte(_NOW.replace("where op = 1", "where op = 1 and seq = 1")) + "select term, doc_id from tf")(lambda s, d: _changed(s, d, "flushed").segment(1).all_postings())
+query("index_segment_terms", cte(_NOW.replace("where op = 1", "where op = 1 and seq = 3")) + "select distinct term from tf")(lambda s, d: _changed(s, d, "flushed").segment(2).terms())
+query("index_segment_set", f"select count(*) as docs from ({_NOW})")(lambda s, d: _changed(s, d, "flushed").segments().total_docs())
+query("index_tombstones", f"select 1::bigint as segment_id, doc_id from {DOCS} where doc_id % 7 = 0 or doc_id % 13 = 0")(lambda s, d: _changed(s, d, "flushed").tombstones())
+
+
+@query(
+    "index_lookups",
+    f"select n.doc_id, t.doc_id is not null as has, md5(t.text) as text_md5, t.doc_id is not null as live from (select unnest([1, 7, 13, 91]) as doc_id) n left join ({_NOW}) t using (doc_id)",
+)
+def index_lookups(s: SparkSession, d: str) -> DataFrame:
+    """Point reads of four documents."""
+    index = _changed(s, d, "flushed")
+    now = index.snapshot()
+    rows = [(x, index.has_doc(x), index.doc_text(x), now.is_live(x)) for x in (1, 7, 13, 91)]
+    return s.createDataFrame(rows, "doc_id int, has boolean, text string, live boolean").select("doc_id", "has", F.md5("text").alias("text_md5"), "live")
+
+
+@query("index_catalog", f"select 2::bigint as segments, (select count(*) from ({_NOW})) as docs, 0::bigint as unflushed, 3::bigint as next_id, true as closed")
+def index_catalog(s: SparkSession, d: str) -> DataFrame:
+    with _changed(s, d, "flushed") as index:
+        row = (index.segment_count(), index.snapshot().doc_count(), index.mem_doc_count(), index.store.load_manifest()["next_id"])
+    return s.createDataFrame([(*row, index.closed)], "segments long, docs long, unflushed long, next_id long, closed boolean")
+
+
+# Statistics that change, and other scalars
+
+query("stats_put_drop", cte() + "select term, cast(sum(tf) as bigint) as count, count(*) as df from (select doc_id, term, tf from tf where doc_id % 5 <> 0 and doc_id % 7 <> 0 union all select doc_id, 'fresh', 2 from src where doc_id % 7 = 0 and doc_id % 5 <> 0) group by 1")(
+    lambda s, d: stats.term_stats(stats.drop(stats.put(tf_of(s, d), ids_of(s, d).where("doc_id % 7 = 0").select("doc_id", F.lit("fresh").alias("term"), F.lit(2).cast("long").alias("tf"))), ids_of(s, d).where("doc_id % 5 = 0")))
+)
+query("stats_doc_tf", cte() + "select coalesce(sum(tf), 0)::bigint as tf from tf where doc_id = 3 and term = 'er'")(lambda s, d: stats.tf_in(tf_of(s, d), 3, "er"))
+query("normalize_all", "select item_id, array_to_string(list_filter(list_transform(string_split(text, ' '), lambda x: lower(trim(x))), lambda x: x <> ''), ',') as terms from benchmark")(
+    lambda s, d: table(s, d, "benchmark").select("item_id", as_text(strings.normalize_all(F.split("text", " ", -1))).alias("terms"))
+)
+query("is_ident", "select item_id, regexp_full_match(substr(text, 1, 1), '[A-Za-z0-9_]') as first, regexp_full_match(substr(text, 5, 1), '[A-Za-z0-9_]') as fifth from benchmark")(
+    lambda s, d: table(s, d, "benchmark").select("item_id", *[strings.is_ident(F.substring("text", i, 1)).alias(n) for i, n in ((1, "first"), (5, "fifth"))])
+)
+query("filter_merged_stopwords", _filter_sql(f"term not in ({STOP}, 'die', 'er')"))(_filtered(an.Stopwords(an.merge_stopwords(an.STOPWORDS, an.stopword_list(" Die", "ER", "")))))
+query("query_text", """select 'OR("die", AND("er", NOT(OR("re", "de"))))' as text, false as empty, true as no_term""")(
+    lambda s, d: s.createDataFrame([(str(parse("die or er and not (RE or de)")), parse("die").is_empty(), Term(" ").is_empty())], "text string, empty boolean, no_term boolean")
+)
+
 # Other corpora
 
 _OTHER = {

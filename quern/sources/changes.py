@@ -5,14 +5,17 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 ADD, DELETE, FLUSH = 1, 2, 3
 MAX_RECORD = 16 << 20
 SCHEMA = "seq long, op int, doc_id long, text string"
+SCHEMA_NAMES = ["seq", "op", "doc_id", "text"]
 
 
 class CorruptLog(ValueError):
@@ -70,9 +73,50 @@ def replay(data: bytes) -> list[dict]:
     return out
 
 
+def _little(n: Column) -> Column:
+    """The four bytes of a number, lowest first."""
+    byte = lambda k: F.lpad(F.hex(F.shiftright(n.cast("long"), 8 * k).bitwiseAND(F.lit(255))), 2, "0")
+    return F.unhex(F.concat(*[byte(k) for k in range(4)]))
+
+
+def frames(changes: DataFrame) -> DataFrame:
+    """(file, data): the framed records of each document's changes, in the order of seq."""
+    payload = F.to_json(F.struct(*SCHEMA_NAMES), {"ignoreNullFields": "false"}).cast("binary")
+    one = changes.select("doc_id", "seq", payload.alias("p"))
+    one = one.select("doc_id", F.struct("seq", F.concat(_little(F.octet_length("p")), _little(checksum(F.col("p"))), "p").alias("data")).alias("r"))
+    held = one.groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    joined = F.aggregate("rs", F.lit(b"").cast("binary"), lambda out, r: F.concat(out, r["data"]))
+    return held.select(F.col("doc_id").cast("string").alias("file"), joined.alias("data"))
+
+
+def replayed(files: DataFrame) -> DataFrame:
+    """files(file, data) -> (file, seq, op, doc_id, text), by `replay`; a log that cannot be read is an error."""
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(name, r) for name, data in zip(*(batch.column(c).to_pylist() for c in ("file", "data"))) for r in replay(data)]
+            cols = [pa.array([n for n, _ in rows], pa.string())]
+            for key, kind in zip(SCHEMA_NAMES, (pa.int64(), pa.int32(), pa.int64(), pa.string())):
+                cols.append(pa.array([r.get(key) for _, r in rows], kind))
+            yield pa.RecordBatch.from_arrays(cols, ["file", *SCHEMA_NAMES])
+
+    return files.select("file", "data").mapInArrow(records, f"file string, {SCHEMA}")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """`replayed` over log files; a file is read whole, in one task."""
+    return replayed(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content").alias("data")))
+
+
+def fingerprint(changes: DataFrame) -> tuple[int, int, int]:
+    """(rows, largest seq or -1, sum of the rows' hashes) of a batch, whatever its order."""
+    row = F.xxhash64("seq", "op", "doc_id", "text").bitwiseAND(F.lit((1 << 31) - 1))
+    return tuple(changes.agg(F.count("*"), F.coalesce(F.max("seq"), F.lit(-1)), F.coalesce(F.sum(row), F.lit(0))).first())
+
+
 def latest(changes: DataFrame) -> DataFrame:
-    """The last change of each document."""
-    last = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("seq")))
+    """The last change of each document; of changes with equal seq, a delete, then the largest text."""
+    last = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("seq"), F.desc("op"), F.desc("text")))
     return changes.where(F.col("op").isin(ADD, DELETE)).withColumn("_n", last).where("_n = 1").drop("_n")
 
 

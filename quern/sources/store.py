@@ -3,10 +3,33 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, a folder of our own in local mode, set once; an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        if not held.isDefined() and not local:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; Hadoop removes it when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         if not root:
@@ -32,10 +55,11 @@ class Store:
         return sorted(x.getPath().getName() for x in self._fs.listStatus(path)) if self._fs.exists(path) else []
 
     def write_bytes(self, name: str, data: bytes) -> None:
-        """Write beside the name and rename, so readers see the old file or the new one."""
+        """Write beside the name, make it durable and rename it, so readers see the old file or the new one."""
         aside = self._path(self.full(name + ".new"))
         out = self._fs.create(aside, True)
         out.write(bytearray(data))
+        out.hsync()
         out.close()
         final = self._path(self.full(name))
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
@@ -51,7 +75,7 @@ class Store:
             source.close()
 
     def load_manifest(self) -> dict:
-        empty = {"next_id": 1, "segments": [], "tombstones": [], "log_from": 0, "next_log": 0, "next_seq": 1}
+        empty = {"next_id": 1, "segments": [], "tombstones": [], "log_from": 0, "next_log": 0, "next_seq": 1, "last_batch": -1}
         return empty | (json.loads(self.read_bytes("catalog.json")) if self.exists("catalog.json") else {})
 
     def save_manifest(self, manifest: dict) -> None:

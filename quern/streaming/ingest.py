@@ -11,15 +11,14 @@ from quern.index import SearchIndex
 def ingest(changes: DataFrame, index: SearchIndex, checkpoint: str, **trigger) -> StreamingQuery:
     """Start a query that applies streaming changes (seq, op, doc_id, text) in batches, in the order of seq.
 
-    The manifest remembers the last batch published, so a batch that is run again after a crash is
-    skipped. Default trigger: all there is now, then stop.
+    A batch's number stands in the log with the batch and later in the manifest. A batch that is run
+    again after a crash is not applied again; what the crash left unpublished is published. Default
+    trigger: all there is now, then stop.
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= index.manifest.get("last_batch", -1):
-            return
-        index.apply(batch)
-        index.manifest["last_batch"] = batch_id
+        if batch_id > index.last_batch:
+            index.apply(batch, batch_id)
         index.flush()
 
     writer = changes.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
