@@ -11,6 +11,7 @@ which loses no link: fingerprints within `distance` overall are within it on the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,52 +27,54 @@ from quern.llm.components import connected_components
 FULL = (1 << 64) - 1
 
 
-def fingerprint(words: list[bytes], width: int) -> int:
-    """Majority fingerprint of XXH64 (seed 42) over shingles of `width` words."""
-    return int(_fingerprints([words], width)[0])
+UNEVEN = re.compile(rb"[\t-\r ]{2,}|[\t-\r]")  # blanks other than one space
 
 
-def shingle_hashes(docs: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all documents' shingles in a row, and how many each document has."""
-    digest, hashes, counts = xxhash.xxh64_intdigest, [], []
-    for words in docs:
-        n = max(1, len(words) - width + 1) if words else 0
+def shingle_hashes(texts: list[bytes], width: int, piece: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 (seed 42) of all texts' shingles in a row, and how many each text has. Texts are lower-cased; no
+    object is made for a word, and only `piece` shingles are numbers of Python's at a time."""
+    digest, hashes, counts = xxhash.xxh64_intdigest, [np.zeros(0, "<u8")], []
+    for text in texts:
+        joined = UNEVEN.sub(b" ", text.lower()).strip(b" ")
+        if not joined:
+            counts.append(0)
+            continue
+        cuts = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+        starts, ends = np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(joined)]))
+        n = max(1, len(starts) - width + 1)
         counts.append(n)
         if n == 1:
-            hashes.append(digest(b" ".join(words), 42))
-        elif n:
-            joined = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            hashes += [digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist())]
-    return np.array(hashes, "<u8"), np.array(counts, np.int64)
-
-
-def _fingerprints(docs: list[list[bytes]], width: int) -> np.ndarray:
-    return majority(*shingle_hashes(docs, width))
-
-
-def majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(n), np.uint64)
-    full = np.flatnonzero(n)
-    if full.size:
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(n[full])[:-1])), axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * sums > n[full, None], axis=1, bitorder="little").reshape(-1, 8).copy().view("<u8").ravel()
-    return out
+            hashes.append(np.array([digest(joined, 42)], "<u8"))
+        for i in range(0, n if n > 1 else 0, piece):
+            to = min(n, i + piece)
+            hashes.append(np.array([digest(joined[a:b], 42) for a, b in zip(starts[i:to].tolist(), ends[i + width - 1 : to + width - 1].tolist())], "<u8"))
+    return np.concatenate(hashes), np.array(counts, np.int64)
+
+
+def majority(hashes: np.ndarray, n: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
+    """For each run of n hashes, the bits that are set in over half of it; bits are unpacked a piece at a time."""
+    sums, owner = np.zeros((len(n), 64), np.int64), np.repeat(np.arange(len(n)), n)
+    for i in range(0, len(hashes), piece):
+        bits = np.unpackbits(hashes[i : i + piece].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own = owner[i : i + piece]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        sums[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    return np.packbits(2 * sums > n[:, None], axis=1, bitorder="little").reshape(-1, 8).copy().view("<u8").ravel()
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
-            docs = [(x or "").encode().lower().split() for x in part.column("text").to_pylist()]
-            prints = _fingerprints(docs, width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+            texts = part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+            prints = majority(*shingle_hashes(texts, width)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(prints)], ["doc_id", "tag", "fp"])
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(partial(_fingerprint_batches, width=width), "doc_id long, fp long")
+    """(doc_id, tag, fp), tag being a hash of the text, by which rows with equal ids can be told apart."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    return rows.mapInArrow(partial(_fingerprint_batches, width=width), "doc_id long, tag long, fp long")
 
 
 def variant_masks(used: int, distance: int) -> list[int]:
@@ -194,6 +197,17 @@ def link_edges(classes: DataFrame, distance: int, bucket_rows: int = 16384) -> D
             return edges
 
 
+def _components(docs: DataFrame, width: int, distance: int, bucket_rows: int) -> DataFrame:
+    """(doc_id, tag, fp, component_id)."""
+    prints = staged(fingerprints(docs, width), "fingerprints")
+    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    parts = connected_components(link_edges(classes, distance, bucket_rows))
+    known = classes.join(parts, classes["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
+    known = staged(known, "parts")
+    low = known.groupBy("part").agg(F.min("low").alias("component_id"))
+    return prints.join(known.select("fp", "part").join(low, "part").select("fp", "component_id"), "fp")
+
+
 def simhash_components(docs: DataFrame, *, width: int = 4, distance: int = 4, bucket_rows: int = 16384) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
@@ -201,20 +215,24 @@ def simhash_components(docs: DataFrame, *, width: int = 4, distance: int = 4, bu
     names a component unless all its ids are null (then null). Rows repeating an id are all returned.
     Columns other than doc_id and text are ignored. An empty table gives an empty result.
     """
-    prints = staged(fingerprints(docs, width), "fingerprints")
-    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    parts = connected_components(link_edges(classes, distance, bucket_rows))
-    known = classes.join(parts, classes["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
-    known = staged(known, "parts")
-    low = known.groupBy("part").agg(F.min("low").alias("component_id"))
-    named = known.select("fp", "part").join(low, "part").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = _components(docs, width, distance, bucket_rows)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def without(docs: DataFrame, gone: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs less the rows with the ids and texts in gone(doc_id, tag), with all their columns; texts are shuffled only
+    where gone is too large to broadcast."""
+    gone = staged(gone.select(F.col("doc_id").alias("_gone_id"), F.col("tag").alias("_gone_tag")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    tag = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (tag == gone["_gone_tag"]), "left_anti")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents that name their component, with all their columns."""
-    parts = simhash_components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(parts, docs["doc_id"].cast("long").eqNullSafe(parts["_kept"]), "left_semi")
+def keep_one(docs: DataFrame, *, width: int = 4, distance: int = 4, bucket_rows: int = 16384) -> DataFrame:
+    """The documents that name their component, with all their columns. Of rows that repeat an id, those stay
+    whose own text is in the component that the id names."""
+    parts = _components(docs, width, distance, bucket_rows)
+    return without(docs, parts.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "tag"))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
