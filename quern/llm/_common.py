@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,44 +12,38 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.store import scratch
+
 #: Words are runs of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a folder of our own, set once."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; Hadoop removes it when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
+@contextlib.contextmanager
+def cleaned(spark: SparkSession, ordered: bool = False) -> Iterator[None]:
+    """While a table is written: shuffle files go as soon as it ends; with ordered, sorted bucket files are taken as sorted."""
+    wanted = {CLEANUP: "true"} | ({ORDERED: "true"} if ordered else {})
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def staged(df: DataFrame, name: str, ordered: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and survives lost executors.
 
     The shuffle files of the write go as soon as it ends.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        writer.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    with cleaned(spark, ordered):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

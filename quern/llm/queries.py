@@ -14,4 +14,4 @@ QUERIES = {
     "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
     "op2_source_mixing": mixing.op2_source_mixing,
 }
-ORACLES = {"op9_exact_dedup": exact_dedup.OP9_SQL}
+ORACLES = {"op9_exact_dedup": exact_dedup.OP9_SQL, "op5_substring_dedup": substring_dedup.OP5_SQL}

@@ -1,38 +1,49 @@
 """Substring dedup over a log-structured fingerprint index.
 
 A window is `window` consecutive words of one document; a word is removed if a window over it also
-starts in a document with a smaller id (windows are judged on the input). Work goes in four steps.
-
-1. Anchors. The smallest hash of the `gram`-word grams inside a window anchors it, so equal windows have
-   equal anchors, and only one in about (window - gram) / 2 positions is one. Each flush of a task gives
-   its anchors as a sorted run; an anchor that several documents of the flush share is a candidate at
-   once and goes on as one row, so a passage in very many documents reaches the shuffle once per flush.
-2. Merge. The batch's runs and the index' historical runs meet in key order; anchors that two documents
-   share are candidates. The batch's run joins the index, and runs are compacted into one when they are many.
-3. Windows. Candidates join their texts; the windows around a candidate get two independent hashes of
-   all their words. Windows meet by the first, are verified by the second, and the smallest document of
-   each is found, again with equal windows of a flush collapsed beforehand.
-4. Removal. Texts with verified windows lose the covered words; all others were finished in step 3.
-
-Steps 1 to 3 know a text by its 64-bit hash and work once for all documents that hold it, under the
-smallest of their ids; every other document that holds it loses all words that a window covers. Texts
-travel compressed. Nothing is capped: very frequent anchors or windows cost rows by flush.
+starts in a document with a smaller id (windows are judged on the input). The hash of a window is the
+smallest hash of the `gram`-word grams inside it, so equal windows have equal hashes, and neighbouring
+windows share theirs: the index has one row (key, doc, at) for all windows that the same gram stands for.
+
+The index is a folder with a manifest, which is replaced atomically:
+- runs: immutable, dealt to `buckets` files by key and sorted by key in each. A new batch becomes a run of
+  level 0; `fanout` runs of a level are compacted into one of the next.
+- texts: the compressed texts of each batch, dealt by document, from which words are verified later.
+Runs and texts are Spark's bucketed tables, so joining them by key or document moves no row of theirs.
+
+A batch goes through four steps:
+1. Its texts and its run are written.
+2. Merge: the new run meets itself and the historical runs, in key order. Keys that two documents share
+   make candidates, in the batch and in history.
+3. Verify: windows around candidates meet by a hash of their words and are compared word by word; a
+   window of the batch whose words start in a smaller document is a repeat. Equal windows of a task's
+   flush are one row beforehand, so a passage in very many documents costs a row for each flush.
+4. Remove: every text of the batch loses the words that repeats cover.
+
+Very frequent grams: keys with more than a fraction of an average task's rows are salted by document over
+several tasks and kept by name in a small table beside the run. Nothing is capped.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import uuid
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from quern.llm._common import partitions, scratch, slices, staged
+from quern.llm._common import cleaned, partitions, scratch, slices, staged
+from quern.sources.store import Store
 
 LAST = (1 << 63) - 1  # stands for a null id: one document after all others
 FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
@@ -115,29 +126,20 @@ def anchors(h: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> tuple
     return places, grams[places]
 
 
-def collapse(key: np.ndarray, doc: np.ndarray, extra: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """Sort by (key, doc). Returns the sorted columns, where a key's run starts, and whether its run has several documents."""
-    order = np.lexsort((doc, key))
-    key, doc, extra = key[order], doc[order], [x[order] for x in extra]
-    first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-    run = np.cumsum(first) - 1
-    starts = np.flatnonzero(first)
-    ends = np.concatenate((starts[1:], [len(key)])).astype(np.int64) - 1
-    several = (doc[starts] != doc[ends])[run] if len(key) else np.zeros(0, bool)
-    return key, doc, extra, first, several
+OFTEN = 8  # a key that comes so often in a flush is counted; a key's other rows are fewer than this by flush
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, for_run: bool, flush_rows: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """(key, doc, at): at is four times the place plus 0: to compare, 1: a candidate already, 2: for the run only."""
-    held, n = [], 0
+def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, flush_rows: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """(key, doc, at) for each gram that stands for a window, and (key, count, -1) for keys that come often in a flush."""
+    held: list[np.ndarray] = []
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        key, doc, (pos,), first, several = collapse(*(np.concatenate(x) for x in list(zip(*held))[:2]), [np.concatenate([x[2] for x in held])])
-        sent = first | ~several
-        for kind, rows in ((0, sent), (1, several), (2, several & ~sent)):
-            if rows.any() and (kind < 2 or for_run):
-                k = doc[rows].view(np.uint64) * FACTORS[1] if kind == 1 else key[rows]
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(doc[rows]), pa.array((pos[rows] << 2 | kind).astype(np.int64))], ["key", "doc", "at"])
+    def rows(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32))], ["key", "doc", "at"])
+
+    def often() -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        at = np.flatnonzero(n >= OFTEN)
+        return rows(keys[at], n[at].astype(np.int64), np.full(len(at), -1))
 
     for batch in batches:
         for part in slices(batch, "text"):
@@ -145,42 +147,21 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, for_
             places, keys = anchors(h, lengths, window, gram)
             starts = np.cumsum(lengths) - lengths
             owner = np.searchsorted(starts + lengths, places, "right")
-            held.append((keys, part.column("ident").to_numpy(zero_copy_only=False)[owner], places - starts[owner]))
-            n += len(places)
-            if n >= flush_rows:
-                yield from flush()
-                held, n = [], 0
-    if n:
-        yield from flush()
-
-
-def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by the first, cut so that equal values of it stay together."""
-    held = None
-    for batch in batches:
-        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
-        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-        if held[0].size and held[0][0] != held[0][-1] and held[0].size > 100_000:
-            last = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1
-            yield [x[:last] for x in held]
-            held = [x[last:] for x in held]
-    if held is not None and held[0].size:
-        yield held
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, doc, at) -> (doc, at): anchors that several documents share, and those known before."""
-    for key, doc, at in _runs(batches, 3):
-        known = at & 3 == 1
-        key, doc, (at, known), _, several = collapse(key, doc, [at, known])
-        keep = several | known
-        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array((at[keep] >> 2).astype(np.int32))], ["doc", "at"])
+            yield rows(keys, part.column("doc").to_numpy(zero_copy_only=False)[owner], places - starts[owner])
+            held.append(keys)
+            if sum(map(len, held)) >= flush_rows:
+                yield often()
+                held = []
+    if held:
+        yield often()
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("doc"), pa.array([press((x or "").encode()) for x in batch.column("text").to_pylist()], pa.binary())], ["ident", "doc", "z"])
+        for part in slices(batch, "text"):
+            z = [press(x) for x in part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("tag"), pa.array(z, pa.binary())], ["doc", "tag", "z"])
 
 
 def _unpack(z: bytes) -> bytes:
@@ -191,176 +172,278 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-OWNERS = "ident long, doc long, n long, sha string, z binary, places array<int>"
-
-
-def _finish_closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without candidates are finished: they get their digest and lose their bytes."""
-    for batch in batches:
-        n, shas, zs = [], [], []
-        for z, places in zip(batch.column("z").to_pylist(), batch.column("places").to_pylist()):
-            words = _unpack(z).split()
-            n.append(len(words))
-            shas.append(None if places else _digest(words))
-            zs.append(z if places else None)
-        yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("doc"), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(zs, pa.binary()), batch.column("places")], ["ident", "doc", "n", "sha", "z", "places"])
+WINDOWS = "h long, w binary, doc long, tag long, at int, kind int"
+FRESH, KNOWN, OLD = 0, 1, 2  # to be decided; a repeat already; of history, which only tells what is there
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, flush_rows: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """(ident, doc, z, places) -> (h, doc, ident, v) for each window around a candidate; v holds 31 bits of the
-    second hash, the place, and a last bit that says the window is known to be a repeat."""
-    held, n = [], 0
+def _window_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, kind: int, flush_bytes: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+    """(doc, tag, z, places) -> the words of each window around a place, with a hash of them. Of equal windows of a flush,
+    only those of the smallest document keep their words; the others are repeats already."""
+    rows: list[tuple[bytes, int, int, int]] = []
+    low: dict[bytes, int] = {}
+    size = 0
 
     def flush() -> pa.RecordBatch:
-        h, doc, ident, v = (np.concatenate(x) for x in zip(*held))
-        check = v >> np.uint64(32)
-        order = np.lexsort((doc, check, h))
-        h, doc, ident, v, check = h[order], doc[order], ident[order], v[order], check[order]
-        first = np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
-        low = doc[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
-        repeat = doc > low
-        # a known repeat need not meet its like, so it goes anywhere
-        h = np.where(repeat, ident.view(np.uint64) * FACTORS[1], h)
-        v = v | repeat.astype(np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(ident), pa.array(v.view(np.int64))], ["h", "doc", "ident", "v"])
+        out = []
+        for w, doc, tag, at in rows:
+            if doc == low[w]:
+                out.append((xxhash.xxh3_64_intdigest(w), w, doc, tag, at, kind))
+            elif kind == FRESH:  # need not meet its like, so it goes anywhere
+                out.append((doc * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, b"", doc, tag, at, KNOWN))
+        h, w, doc, tag, at, kinds = zip(*out) if out else ([],) * 6
+        columns = [pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(w, pa.binary()), pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(at, pa.int32()), pa.array(kinds, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["h", "w", "doc", "tag", "at", "kind"])
 
     for batch in batches:
-        idents, ids, places = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ident", "doc", "places"))
-        docs = [_unpack(z) for z in batch.column("z").to_pylist()]
-        for i in range(0, len(docs), 500):
-            some = slice(i, i + 500)  # keeps the arrays small
-            h, lengths = word_hashes(docs[some])
-            starts = np.cumsum(lengths) - lengths
-            at = np.concatenate([s + p for s, p in zip(starts.tolist(), places[some])]).astype(np.int64)
-            owner = np.searchsorted(starts + lengths, at, "right")
-            near = np.zeros(len(h) + 1, np.int64)
-            np.add.at(near, np.maximum(at - (window - gram), starts[owner]), 1)
+        for doc, tag, z, places in zip(*(batch.column(c) for c in ("doc", "tag", "z", "places"))):
+            doc, tag, words = doc.as_py(), tag.as_py(), _unpack(z.as_py()).split()
+            n = len(words) - window + 1  # starts of windows
+            if n <= 0:
+                continue
+            at = places.values.to_numpy(zero_copy_only=False)
+            near = np.zeros(len(words) + 1, np.int64)
+            at = at[at < len(words)]
+            np.add.at(near, np.maximum(at - (window - gram), 0), 1)
             np.subtract.at(near, at + 1, 1)
-            first, second = rolling(h, window, FACTORS[0]), rolling(h, window, FACTORS[1])
-            at = np.flatnonzero(np.cumsum(near)[: len(first)] > 0)
-            owner = np.searchsorted(starts + lengths, at, "right")
-            inside = at + window <= (starts + lengths)[owner]
-            at, owner = at[inside], owner[inside]
-            v = second[at] >> np.uint64(33) << np.uint64(32) | (at - starts[owner]).astype(np.uint64) << np.uint64(1)
-            held.append((first[at], ids[some][owner], idents[some][owner], v))
-            n += len(at)
-            if n >= flush_rows:
-                yield flush()
-                held, n = [], 0
-    if n:
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            del words
+            for i in np.flatnonzero(np.cumsum(near)[:n] > 0).tolist():
+                w = joined[(ends[i - 1] if i else 0) : ends[i + window - 1] - 1]
+                if low.setdefault(w, doc) > doc:
+                    low[w] = doc
+                rows.append((w, doc, tag, i))
+                size += len(w)
+                if size >= flush_bytes:
+                    yield flush()
+                    rows, low, size = [], {}, 0
+    if rows:
         yield flush()
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _window_rows sorted by h -> (ident, at): windows that also start in a smaller document."""
-    for h, doc, ident, v in _runs(batches, 4):
-        u = v.view(np.uint64)
-        known = (u & np.uint64(1)).astype(bool)
-        check = u >> np.uint64(32)
-        order = np.lexsort((doc, check, h))
-        h, doc, ident, u, check, known = h[order], doc[order], ident[order], u[order], check[order], known[order]
-        first = np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
-        low = np.minimum.reduceat(np.where(known, LAST, doc), np.flatnonzero(first))[np.cumsum(first) - 1]
-        keep = known | (doc > low)
-        yield pa.RecordBatch.from_arrays([pa.array(ident[keep]), pa.array((u[keep] >> np.uint64(1) & np.uint64((1 << 31) - 1)).astype(np.int32))], ["ident", "at"])
+    """Rows of _window_rows sorted by h -> (doc, tag, at): windows that also start in a smaller document."""
+
+    def closed(t: pa.Table) -> pa.RecordBatch:
+        h, doc, kind = (t.column(c).to_numpy() for c in ("h", "doc", "kind"))
+        known = kind == KNOWN
+        first = np.concatenate(([True], h[1:] != h[:-1]))
+        group = np.cumsum(first) - 1
+        w = t.column("w").combine_chunks()
+        if not pc.all(pc.or_(pc.equal(w, w.take(pa.array(np.flatnonzero(first)[group]))), pa.array(known))).as_py():
+            names = {}  # words with equal hashes or beside a known repeat: every sequence is a group of its own
+            group = np.array([names.setdefault((x, y), len(names)) for x, y in zip(group.tolist(), w.to_pylist())])
+        low = np.full(int(group.max()) + 1, LAST)
+        np.minimum.at(low, group[~known], doc[~known])
+        keep = known | ((kind == FRESH) & (doc > low[group]))
+        return t.select(["doc", "tag", "at"]).filter(pa.array(keep)).combine_chunks()
+
+    held = None
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        h = held.column("h").to_numpy()
+        if len(h) > 100_000 and h[0] != h[-1]:
+            last = int(np.flatnonzero(h != h[-1])[-1]) + 1
+            yield from closed(held.slice(0, last)).to_batches()
+            held = held.slice(last)
+    if held is not None and held.num_rows:
+        yield from closed(held).to_batches()
 
 
 def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(ident, n, sha, z, places) -> what the smallest document of a text keeps."""
+    """(doc, tag, z, covered) -> what each text keeps; covered has the tags and starts of its document's repeats."""
     for batch in batches:
-        removed, shas = [], []
-        for size, sha, z, places in zip(*(batch.column(c).to_pylist() for c in ("n", "sha", "z", "places"))):
+        sizes, removed, shas = [], [], []
+        tags = batch.column("tag").to_pylist()
+        for i, (z, covered) in enumerate(zip(batch.column("z"), batch.column("covered"))):
+            words = _unpack(z.as_py()).split()
+            sizes.append(len(words))
             gone = 0
-            if sha is None:
-                words = _unpack(z).split()
-                cover = np.zeros(size + window + 1, np.int64)
-                at = np.array(places or [], np.int64)
+            if covered.is_valid:
+                tag, at = (covered.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                at = at[tag == tags[i]].astype(np.int64)
+                cover = np.zeros(len(words) + window + 1, np.int64)
                 np.add.at(cover, at, 1)
                 np.subtract.at(cover, at + window, 1)
-                keep = np.cumsum(cover)[:size] == 0
-                gone = int(size - keep.sum())
-                sha = _digest([w for w, k in zip(words, keep.tolist()) if k])
+                keep = np.cumsum(cover)[: len(words)] == 0
+                gone = int(len(words) - keep.sum())
+                words = [w for w, k in zip(words, keep.tolist()) if k]
             removed.append(gone)
-            shas.append(sha)
-        yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("doc"), batch.column("n"), pa.array(removed, pa.int64()), pa.array(shas)], ["ident", "owner", "n_words", "n_removed", "kept_sha256"])
+            shas.append(_digest(words))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["doc", "n_words", "n_removed", "kept_sha256"])
+
+
+RUN, TEXTS, HOT = "key long, doc long, at int, hot boolean", "doc long, tag long, z binary", "key long, salts int"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 class SubstringIndex:
-    """Sorted immutable runs of anchors in a shared folder, and the incremental dedup over them."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None, *, window: int = 13, gram: int = 4, fanout: int = 4):
-        self.spark, self.path, self.window, self.gram, self.fanout = spark, path or scratch(spark, "substring-index"), window, gram, fanout
-        self.runs: list[str] = []
-        self.made = 0
-
-    def _write_run(self, rows: DataFrame) -> None:
-        self.made += 1
-        run = f"{self.path}/run-{self.made:06d}"
-        rows.repartition(partitions(self.spark), "key").sortWithinPartitions("key", "doc").write.parquet(run)
-        self.runs.append(run)
-
-    def _read_runs(self) -> DataFrame | None:
-        return self.spark.read.schema("key long, doc long, at long").parquet(*self.runs) if self.runs else None
-
-    def compact(self) -> None:
-        """Merge all runs into one; the old ones stay on disk for readers of earlier results."""
-        rows = self._read_runs()
-        if rows is not None and len(self.runs) > 1:
-            self.runs = []
-            self._write_run(rows.distinct())
-
-    def insert(self, batch: DataFrame, corpus: DataFrame | None = None, keep: bool = True) -> DataFrame:
-        """Dedup batch against itself and all earlier batches; then, if keep, index it.
-
-        corpus has doc_id and text of the batch and all earlier batches (the batch, if there were none).
-        A result row for each row of the batch: doc_id, n_words, n_removed, kept_sha256.
-        Null texts have no words. Null ids are one document after all others. Rows repeating an id each have
-        their own result; they are one document, so none is a repeat of another. Other columns are ignored.
+    """Opens the index in a shared folder, or makes a new one there."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, *, window: int = 13, gram: int = 4, fanout: int = 3, hot_share: int = 8):
+        self.spark, self.store, self.fanout, self.hot_share = spark, Store(spark, path or scratch(spark, "substring-index")), fanout, hot_share
+        new = {"next": 1, "buckets": partitions(spark), "window": window, "gram": gram, "runs": [], "texts": []}
+        self.manifest = json.loads(self.store.read_bytes("manifest.json")) if self.store.exists("manifest.json") else new
+        self.window, self.gram, self.buckets = (self.manifest[k] for k in ("window", "gram", "buckets"))
+        self._tables: dict[str, str] = {}
+
+    @property
+    def runs(self) -> list[dict]:
+        return self.manifest["runs"]
+
+    def _publish(self, **changes) -> None:
+        manifest = self.manifest | changes
+        self.store.write_bytes("manifest.json", json.dumps(manifest).encode())
+        self.manifest = manifest
+
+    def _write(self, rows: DataFrame, name: str, by: str) -> None:
+        """A bucketed table of one sorted file for each bucket; what a cut-off attempt left under the name goes first."""
+        self.store.remove(name)
+        table = f"substring_{uuid.uuid4().hex}"
+        with cleaned(self.spark):
+            rows.repartition(self.buckets, by).write.bucketBy(self.buckets, by).sortBy(by).format("parquet").option("path", self.store.full(name)).saveAsTable(table)
+        self._tables[name] = table
+
+    def _read(self, name: str, schema: str, by: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = f"substring_{uuid.uuid4().hex}"
+            self.spark.sql(f"create table {self._tables[name]} ({schema}) using parquet clustered by ({by}) sorted by ({by}) into {self.buckets} buckets location '{self.store.full(name)}'")
+        return self.spark.table(self._tables[name])
+
+    def _forget(self, name: str) -> None:
+        if table := self._tables.pop(name, None):
+            self.spark.sql(f"drop table if exists {table}")
+        self.store.remove(name)
+
+    def drop(self) -> None:
+        """Delete the index."""
+        for name in list(self._tables):
+            self._forget(name)
+        self.store.remove("")
+
+    def _run(self, run: dict) -> DataFrame:
+        return self._read(run["name"], RUN, "key")
+
+    def _hot(self, run: dict) -> DataFrame:
+        return self.spark.read.schema(HOT).parquet(self.store.full(run["name"] + "-hot"))
+
+    def _write_run(self, rows: DataFrame, hot: DataFrame, level: int, number: int) -> dict:
+        name = f"run-{number:06d}"
+        self._write(rows.select("key", "doc", "at", "hot"), name, "key")
+        hot.coalesce(1).write.mode("overwrite").parquet(self.store.full(name + "-hot"))
+        return {"name": name, "level": level, "hot": self._hot({"name": name}).count()}
+
+    def compact(self, level: int) -> None:
+        """Merge the runs of a level into one of the next. The old ones go once the manifest names the new one."""
+        old = [r for r in self.runs if r["level"] == level]
+        rows = reduce(DataFrame.unionByName, map(self._run, old))
+        hot = reduce(DataFrame.unionByName, map(self._hot, old)).groupBy("key").agg(F.max("salts").alias("salts"))
+        run = self._write_run(rows, hot, level + 1, self.manifest["next"])
+        self._publish(next=self.manifest["next"] + 1, runs=[r for r in self.runs if r not in old] + [run])
+        for r in old:
+            self._forget(r["name"])
+            self.store.remove(r["name"] + "-hot")
+
+    def _new_run(self, texts: DataFrame) -> dict:
+        rows = texts.select("doc", "text").mapInArrow(partial(_anchor_rows, window=self.window, gram=self.gram), "key long, doc long, at int")
+        rows = staged(rows, "substring-anchors")
+        limit = max(4 * OFTEN, rows.where("at >= 0").count() // (self.hot_share * self.buckets))
+        often = rows.where("at < 0").groupBy("key").agg(F.sum("doc").alias("n")).where(F.col("n") > limit)
+        hot = staged(often.select("key", F.ceil(F.col("n") / limit).cast("int").alias("salts")), "substring-hot")
+        dealt = rows.where("at >= 0").join(F.broadcast(hot), "key", "left")  # at most hot_share * buckets keys
+        salted = F.when(F.col("salts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")))
+        dealt = dealt.select(salted.alias("key"), "doc", "at", F.col("salts").isNotNull().alias("hot"))
+        return self._write_run(dealt, hot, 0, self.manifest["next"])
+
+    def _candidates(self, run: dict) -> tuple[DataFrame, DataFrame | None]:
+        """(doc, places) of the batch and of history: grams that several documents have. All joins are by key between
+        tables that are dealt and sorted by it."""
+        new, by_key = self._run(run), W.partitionBy("key")
+        marked = new.withColumns({"lo": F.min("doc").over(by_key), "hi": F.max("doc").over(by_key)})
+        found = F.col("hot") | (F.col("lo") < F.col("hi"))
+        keys, hot = new.where(~F.col("hot")).select("key").distinct(), self._hot(run).select("key")
+        old = []
+        for i, r in enumerate(self.runs):
+            known = self._run(r).where(~F.col("hot")).select("key").distinct().withColumn(f"in_{i}", F.lit(True))
+            marked = marked.join(known, "key", "left")
+            found = found | F.col(f"in_{i}").isNotNull()
+            old.append(self._run(r).join(keys, "key", "left_semi").select("doc", "at"))
+            if r["hot"]:  # frequent in history: the batch's rows under the plain key are candidates
+                marked = marked.join(F.broadcast(self._hot(r).select("key", F.lit(True).alias(f"hot_{i}"))), "key", "left")
+                found = found | F.col(f"hot_{i}").isNotNull()
+            if r["hot"] or run["hot"]:
+                asked = self._hot(r).join(F.broadcast(hot), "key", "left_semi").unionByName(F.broadcast(self._hot(r)).join(keys, "key", "left_semi").select("key", "salts")) if r["hot"] else None
+                more = hot
+                if asked is not None:
+                    more = more.unionByName(asked.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.xxhash64("key", k))).alias("key")))
+                old.append(self._run(r).join(F.broadcast(more.distinct()), "key", "left_semi").select("doc", "at"))
+        places = lambda rows: rows.groupBy("doc").agg(F.collect_set("at").alias("places"))
+        return places(marked.where(found).select("doc", "at")), places(reduce(DataFrame.unionByName, old)) if old else None
+
+    def insert(self, batch: DataFrame) -> DataFrame:
+        """Dedup the batch against itself and all earlier batches, and index it: doc_id, n_words, n_removed, kept_sha256.
+
+        A result row for each row of the batch. Null texts have no words. Null ids are one document after all
+        others. Rows repeating an id each have their own result; they are one document, so none is a repeat of
+        another. Other columns are ignored. An empty batch leaves the index as it is.
         """
-        window, gram = self.window, self.gram
-        n = partitions(self.spark)
-
-        def known(df: DataFrame) -> DataFrame:
-            text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-            return df.select(F.xxhash64(text).alias("ident"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"))
-
-        texts = known(batch)
-        anchored = staged(texts.mapInArrow(lambda b: _anchor_rows(b, window, gram, True), "key long, doc long, at long"), "anchors") if keep else None
-
-        # each table written ends the shuffles before it, whose files then go
-        rows = texts.mapInArrow(lambda b: _anchor_rows(b, window, gram, False), "key long, doc long, at long")
-        merged = rows if anchored is None else anchored.where(F.col("at").bitwiseAND(F.lit(3)) != 2)
-        history = self._read_runs()
-        merged = merged if history is None else merged.unionByName(history)
-        shared = merged.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_merge, "doc long, at int")
-        places = staged(shared.groupBy("doc").agg(F.collect_set("at").alias("places")).withColumnRenamed("doc", "ident"), "places")
-        packed = (texts if corpus is None else known(corpus)).mapInArrow(_compress, "ident long, doc long, z binary")
-        owners = packed.groupBy("ident").agg(F.min("doc").alias("doc"), F.first("z").alias("z"))
-        found = staged(owners.join(places, "ident", "left").mapInArrow(_finish_closed, OWNERS), "owners")
-        windows = found.where("z is not null").select("ident", "doc", "z", "places").mapInArrow(lambda b: _window_rows(b, window, gram), "h long, doc long, ident long, v long")
-        again = windows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeats, "ident long, at int")
-        covered = staged(again.groupBy("ident").agg(F.collect_set("at").alias("places")), "covered")
-        open_ = found.where("z is not null").drop("places").join(covered, "ident", "left")
-        closed = found.where("z is null").withColumn("places", F.lit(None).cast("array<int>"))
-        done = open_.unionByName(closed).mapInArrow(lambda b: _remove(b, window), "ident long, owner long, n_words long, n_removed long, kept_sha256 string")
-        if keep:
-            self._write_run(anchored.where(F.col("at").bitwiseAND(F.lit(3)) != 1))
-            if len(self.runs) >= self.fanout:
-                self.compact()
-        own = texts.select("doc", "ident")
-        again_ = (F.col("doc") != F.col("owner")) & (F.col("n_words") >= window)
-        return own.join(done, "ident").select(
-            F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"),
-            "n_words",
-            F.when(again_, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
-            F.when(again_, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        )
-
-
-def substring_dedup(docs: DataFrame, **options) -> DataFrame:
-    """All documents as one batch; nothing comes after it, so its run is not kept."""
-    return SubstringIndex(docs.sparkSession, **options).insert(docs, keep=False)
+        spark, window, gram = self.spark, self.window, self.gram
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        texts = batch.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
+        number = self.manifest["next"]
+        stored = f"texts-{number:06d}"
+        self._write(texts.mapInArrow(_compress, TEXTS), stored, "doc")
+        own = self._read(stored, TEXTS, "doc")
+        if own.isEmpty():
+            self._forget(stored)
+            return spark.createDataFrame([], RESULT)
+        run = self._new_run(texts)
+        fresh, old = self._candidates(run)
+
+        def windows(of: DataFrame, places: DataFrame, kind: int) -> DataFrame:
+            return of.join(places, "doc").select("doc", "tag", "z", "places").mapInArrow(partial(_window_rows, window=window, gram=gram, kind=kind), WINDOWS)
+
+        rows = windows(own, staged(fresh, "substring-places", ordered=True), FRESH)
+        if old is not None:
+            old = staged(old, "substring-places", ordered=True)
+            for name in self.manifest["texts"]:
+                rows = rows.unionByName(windows(self._read(name, TEXTS, "doc"), old, OLD))
+        met = rows.repartition(partitions(spark), "h").sortWithinPartitions("h")
+        covered = staged(met.mapInArrow(_repeats, "doc long, tag long, at int").groupBy("doc").agg(F.collect_set(F.struct("tag", "at")).alias("covered")), "substring-covered")
+        out = own.join(covered, "doc", "left").select("doc", "tag", "z", "covered").mapInArrow(partial(_remove, window=window), "doc long, n_words long, n_removed long, kept_sha256 string")
+        out = staged(out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256"), "substring-kept")
+        self._publish(next=number + 1, runs=[*self.runs, run], texts=[*self.manifest["texts"], stored])
+        level = 0
+        while sum(r["level"] == level for r in self.runs) >= self.fanout:
+            self.compact(level)
+            level += 1
+        return out
+
+
+def substring_dedup(docs: DataFrame, *, batches: int = 4, **options) -> DataFrame:
+    """All documents, inserted in `batches` batches by ranges of ids of about equal numbers of rows, smallest ids first
+    (null ids last), into an index of its own; so each batch meets the documents with smaller ids in its history."""
+    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)], 10_000).alias("at")).first()["at"]
+    cuts, doc = sorted(set(cuts or [])), F.col("doc_id").cast("long")
+    index, out = SubstringIndex(docs.sparkSession, **options), []
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = docs.where(doc > lo) if hi is not None and lo is not None else docs.where((doc > lo) | doc.isNull()) if lo is not None else docs
+        out.append(index.insert(part if hi is None else part.where(doc <= hi)))
+    index.drop()
+    return reduce(DataFrame.unionByName, out)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP5_SQL = r"""
+with d as (select cast(doc_id as bigint) as doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13),
+g as (select doc_id, i, min(doc_id) over (partition by list_slice(w, i, i + 12)) as low from s),
+c as (select distinct doc_id, unnest(range(i, i + 13)) as pos from g where low < doc_id),
+p as (select d.doc_id, d.w, list(c.pos) as gone from d left join c using (doc_id) group by d.doc_id, d.w),
+k as (select doc_id, len(w) as n_words, case when gone[1] is null then w else list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda i: not list_contains(gone, i))), lambda i: w[i]) end as kept from p)
+select doc_id, cast(n_words as bigint) as n_words, cast(n_words - len(kept) as bigint) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
+"""

@@ -184,15 +184,39 @@ def test_substring_dedup(spark, docs):
         want.append((str(r[0]), len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
     got = substring_dedup.substring_dedup(df).collect()
     assert sorted((str(g.doc_id), g.n_words, g.n_removed, g.kept_sha256) for g in got) == sorted(want)
-    index, out = substring_dedup.SubstringIndex(spark, fanout=2), []
-    for lo, hi in ((0, 30), (30, 70), (70, 200)):
-        part, upto = df.where(f"doc_id >= {lo} and doc_id < {hi}"), df.where(f"doc_id < {hi}")
-        out += index.insert(part, upto).collect()
-    assert sorted((str(g.doc_id), g.n_words, g.n_removed, g.kept_sha256) for g in out) == sorted(x for x in want if x[0] != "None")
-    assert len(index.runs) == 1
     assert substring_dedup.substring_dedup(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("hot_share", [8, 100_000])
+def test_substring_index_is_incremental(spark, docs, tmp_path, hot_share):
+    """Batch by batch through an index that is opened anew each time: the same as all documents at once. The second
+    case salts every gram that comes often."""
+    rows, df = docs
+    shared = " ".join(f"s{i}" for i in range(30))
+    more = [(200 + i, f"a{i} {shared} z{i}" if i % 2 else f"{shared} {shared} y{i}") for i in range(40)]
+    df = df.select("doc_id", "text").where("doc_id is not null").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    whole = substring_dedup.substring_dedup(df, batches=1).collect()
+    out = []
+    for lo, hi in ((0, 30), (30, 70), (70, 70), (70, 210), (210, 300)):
+        index = substring_dedup.SubstringIndex(spark, str(tmp_path / "index"), fanout=2, hot_share=hot_share)
+        out += index.insert(df.where(f"doc_id >= {lo} and doc_id < {hi}")).collect()
+    key = lambda g: (g.doc_id, g.n_words, g.n_removed, g.kept_sha256)
+    assert sorted(map(key, out)) == sorted(map(key, whole))
+    assert [r["level"] for r in index.runs] == [2] and index.runs[0]["hot"] > 0
+
+
+def test_substring_words_are_compared(spark, monkeypatch):
+    """Windows whose hashes are all equal are still told apart by their words."""
+    monkeypatch.setattr(substring_dedup.xxhash, "xxh3_64_intdigest", lambda _: 7)
+    a, b = ([f"{c}{i}" for i in range(20)] for c in "ab")
+    w = [substring_dedup.zstandard.ZstdCompressor().compress(" ".join(x).encode()) for x in (a, b, b[2:])]
+    rows = substring_dedup.pa.RecordBatch.from_arrays([[1, 2, 3], [0, 0, 0], w, [list(range(17))] * 3], ["doc", "tag", "z", "places"])
+    windows = list(substring_dedup._window_rows(iter([rows]), 13, 4, substring_dedup.FRESH, flush_bytes=1))
+    order = substring_dedup.pa.Table.from_batches(windows).combine_chunks().to_batches()
+    got = [r for b in substring_dedup._repeats(iter(order)) for r in b.to_pylist()]
+    assert sorted((r["doc"], r["at"]) for r in got) == [(3, i) for i in range(6)]
+
+
 def test_suffix_lm(spark, docs):
     rows, df = docs
     held = lambda r: zlib.crc32(str("null" if r[0] is None else r[0]).encode()) % 10 == 0
