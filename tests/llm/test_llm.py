@@ -245,9 +245,13 @@ def test_byte_bpe(spark, docs):
     path, pattern = byte_bpe.default_vocabulary()
     ranks = byte_bpe.read_ranks(path)
     own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    got = byte_bpe.encode(df).collect()
     want = sorted((str(r[0]), own.encode_ordinary(r[1] or "")) for r in rows)
-    assert sorted((str(g.doc_id), list(g.ids)) for g in got) == want
+    for options in ({"head_words": 5, "head_bytes": 3, "long_word": 6}, {"head_words": 0}, {}):
+        got = byte_bpe.encode(df, **options).collect()
+        assert sorted((str(g.doc_id), list(g.ids)) for g in got) == want
+    assert byte_bpe.encode(df.where("false")).count() == 0
+    with pytest.raises(Exception, match="unknown id"):
+        byte_bpe.decode(spark.createDataFrame([(1, [60_000])], "doc_id long, ids array<int>")).collect()
     text = {str(r[0]) + hashlib.sha256((r[1] or "").encode()).hexdigest() for r in rows}
     assert {str(g.doc_id) + g.decoded_sha256 for g in got} == text
     back = byte_bpe.decode(byte_bpe.encode(df)).collect()
@@ -259,7 +263,7 @@ def test_byte_bpe(spark, docs):
         w = bytes(r["word"])
         assert list(r["ids"]) == (own._encode_single_piece(w) if w else []) == (list(byte_bpe.fold(w, ranks)) if w else [])
     long = ("abc*" * 4000).encode()
-    assert list(byte_bpe._fold_long(long, ranks)) == own._encode_single_piece(long)
+    assert list(byte_bpe.fold(long, ranks)) == own._encode_single_piece(long)
 
 
 def test_rp_forest(spark):
