@@ -292,18 +292,68 @@ def test_patience():
     assert line_dedup.patience([1, None, 2], [0, 1, None, 2]) == [(0, 1), (2, 3)]
     assert line_dedup.patience([], [1]) == [] and line_dedup.patience([1, 1], [2, 2]) == []
     assert line_dedup.patience([5, 5, 1, 5], [5, 1, 5, 5]) == [(0, 0), (2, 1), (3, 3)]
+    assert line_dedup.patience([8, 1, 8, 2], [3, 8, 4]) == [(0, 1)] and line_dedup.patience([8, 1, 8, 2], [3, 8, 4, 8]) == [(0, 1), (2, 3)]
 
 
-def test_line_dedup(spark):
+def by_pairs(rows, rare_df):
+    """The rule of line_dedup in plain Python, with lines as they are."""
+    split = {(i, t): [x.rstrip(" \t\r\x0b\x0c") or None for x in (t or "").split("\n")] for i, t in rows}
+    order = sorted(split, key=lambda n: (n[0] is None, n[0] or 0))
+    first = {}
+    for n in order:
+        first.setdefault(tuple(split[n]), n)
+    reps = [n for n in order if first[tuple(split[n])] == n]
+    rank = {n: k for k, n in enumerate(reps)}
+    holders, gone = {}, {n: set() for n in reps}
+    for n in reps:
+        for x in set(split[n]) - {None}:
+            holders.setdefault(x, []).append(n)
+
+    def meet(pairs):
+        for a, b in set(pairs):
+            gone[b].update(y for _, y in line_dedup.patience(split[a], split[b]))
+
+    meet([(h[i], h[j]) for h in holders.values() if len(h) <= rare_df for j in range(len(h)) for i in range(j)] + [(h[0], b) for h in holders.values() if len(h) > rare_df for b in h[1:]])
+    used = {x: {h[0]} for x, h in holders.items() if len(h) > rare_df}
+    while True:
+        left = {x: [n for n in holders[x] if n not in u and any(y == x and k not in gone[n] for k, y in enumerate(split[n]))] for x, u in used.items()}
+        left = {x: h for x, h in left.items() if len(h) > 1}
+        if not left:
+            break
+        meet([(h[0], b) for h in left.values() for b in h[1:]])
+        for x, h in left.items():
+            used[x].add(min(h, key=rank.get))
+    out = []
+    for n in [(i, t) for i, t in rows]:
+        lines = (n[1] or "").split("\n")
+        drop = gone[n] if n in gone else {k for k, x in enumerate(split[n]) if x is not None}
+        out.append((str(n[0]), len(lines), len(drop), "\n".join(x for k, x in enumerate(lines) if k not in drop)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rare_df", [4, 1, 100])
+def test_line_dedup(spark, rare_df):
     shared = ["license line", "second shared", "third shared"]
     rows = [(i, "\n".join([f"own {i}", "", *shared, f"end {i}"])) for i in range(1, 12)]
-    rows += [(20, rows[0][1]), (20, rows[0][1]), (21, None), (22, "\n \n"), (None, "own 1\nfresh"), (30, "third shared\nnew\nlicense line")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"line": F.lit(1), "seq": F.lit(2)})
-    got = {(g.doc_id, g.n_removed): g.kept_text for g in line_dedup.line_dedup(df).collect()}
-    assert got[1, 0] == rows[0][1] and got[2, 3] == "own 2\n\nend 2" and got[11, 3] == "own 11\n\nend 11"
-    assert got[20, 5] == "" and got[21, 0] == "" and got[22, 0] == "\n \n" and got[None, 1] == "fresh"
-    assert (30, 1) in got or (30, 2) in got
-    assert line_dedup.line_dedup(df).count() == len(rows) and line_dedup.line_dedup(df.where("false")).count() == 0
+    rows += [(20, rows[0][1]), (20, rows[0][1]), (21, None), (22, "\n \n"), (None, "own 1\nfresh"), (30, "third shared\nnew\nlicense line"), (31, "foo\r\nx"), (32, "foo \t\ny")]
+    rows += [(40, "menu\na\nmenu\nb")] + [(40 + i, f"x{i}\nmenu\ny{i}") for i in range(1, 7)]
+    rng = random.Random(11)
+    lines = [f"line {k}" for k in range(12)]
+    rows += [(100 + i, "\n".join(rng.choices(lines, k=rng.randint(1, 9)) + [f"u{rng.randrange(20)}"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"line": F.lit(1), "seq": F.lit(2), "node": F.lit(3), "lines": F.lit(4)})
+    got = line_dedup.line_dedup(df, rare_df=rare_df, block=3).collect()
+    assert sorted((str(g.doc_id), g.n_lines, g.n_removed, g.kept_text) for g in got) == by_pairs(rows, rare_df)
+    kept = {g.doc_id: g.kept_text for g in got}
+    assert kept[2] == "own 2\n\nend 2" and kept[20] == "" and kept[22] == "\n \n" and kept[32] == "y" and kept[46] == "x6\ny6"
+    assert line_dedup.line_dedup(df.where("false")).count() == 0
+
+
+def test_line_hash_collisions(spark, monkeypatch):
+    """Lines whose first hashes are equal are told apart by the second."""
+    hash_ = line_dedup._hash
+    monkeypatch.setattr(line_dedup, "_hash", lambda line, salt=None: F.length(line).cast("long") if salt is None else hash_(line, salt))
+    df = spark.createDataFrame([(1, "abc\nxyz"), (2, "xyz\nqqq"), (3, "qqq\nlonger")], "doc_id long, text string")
+    assert {g.doc_id: g.kept_text for g in line_dedup.line_dedup(df).collect()} == {1: "abc\nxyz", 2: "qqq", 3: "longer"}
 
 
 def test_forward_backward_is_exact():
