@@ -281,6 +281,13 @@ def test_rp_forest(spark):
         assert [r for r, _, _ in mine] == list(range(1, 11)) and all(s == pytest.approx(d[v]) for _, v, s in mine)
         hit += len({v for _, v, _ in mine} & set(want))
     assert hit >= 54
+    # all leaves opened: the same as brute force, whatever the depth, batches and repeated rows
+    repeated = df.unionByName(df.where("vec_id = 100")).unionByName(*[df.where("vec_id = 100")]).repartition(7)
+    every = rp_forest.nearest(repeated, df.where("vec_id % 50 = 0"), trees=2, leaf_points=20, search_share=3.0).collect()
+    for q in range(0, 600, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [i for i in np.lexsort((np.arange(600), d)) if i != q][:10]
+        assert [g.vec_id for g in sorted((g for g in every if g.query_id == q), key=lambda g: g.rank)] == want
     few = df.where("vec_id < 3")
     assert rp_forest.nearest(few, few.where("vec_id = 0")).count() == 2
     assert rp_forest.nearest(df.where("false"), df).count() == 0
