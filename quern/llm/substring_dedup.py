@@ -15,9 +15,9 @@ A batch goes through four steps:
 1. Its texts and its run are written.
 2. Merge: the new run meets itself and the historical runs, in key order. Keys that two documents share
    make candidates, in the batch and in history.
-3. Verify: windows around candidates meet by a hash of their words and are compared word by word; a
-   window of the batch whose words start in a smaller document is a repeat. Equal windows of a task's
-   flush are one row beforehand, so a passage in very many documents costs a row for each flush.
+3. Verify: windows around candidates meet by a 128-bit digest of their words; a window of the batch
+   whose digest starts in a smaller document is a repeat. Equal windows of a task's flush are one row
+   beforehand, so a passage in very many documents costs a row for each flush.
 4. Remove: every text of the batch loses the words that repeats cover.
 
 Very frequent grams: keys with more than a fraction of an average task's rows are salted by document over
@@ -35,7 +35,6 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -172,83 +171,87 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-WINDOWS = "h long, w binary, doc long, tag long, at int, kind int"
+WINDOWS = "h long, h2 long, doc long, tag long, at long"
 FRESH, KNOWN, OLD = 0, 1, 2  # to be decided; a repeat already; of history, which only tells what is there
+# in a row, at is four times the window's place and its kind
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, kind: int, flush_bytes: int = 64 << 20) -> Iterator[pa.RecordBatch]:
-    """(doc, tag, z, places) -> the words of each window around a place, with a hash of them. Of equal windows of a flush,
-    only those of the smallest document keep their words; the others are repeats already."""
-    rows: list[tuple[bytes, int, int, int]] = []
-    low: dict[bytes, int] = {}
+def _lowest(h: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order by window and document, the smallest document of each row's window in that order)."""
+    order = np.lexsort((doc, h2, h))
+    h, h2, doc = h[order], h2[order], doc[order]
+    first = np.concatenate(([True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])))
+    return order, doc[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, kind: int, flush_rows: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """(doc, tag, z, places) -> a 128-bit digest of the words of each window around a place. Of equal windows of a flush,
+    only those of the smallest document go on; the others are repeats already."""
+    held: list[tuple] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        out = []
-        for w, doc, tag, at in rows:
-            if doc == low[w]:
-                out.append((xxhash.xxh3_64_intdigest(w), w, doc, tag, at, kind))
-            elif kind == FRESH:  # need not meet its like, so it goes anywhere
-                out.append((doc * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, b"", doc, tag, at, KNOWN))
-        h, w, doc, tag, at, kinds = zip(*out) if out else ([],) * 6
-        columns = [pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(w, pa.binary()), pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(at, pa.int32()), pa.array(kinds, pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, ["h", "w", "doc", "tag", "at", "kind"])
+        h, h2 = np.frombuffer(b"".join([x[0] for x in held]), "<i8").reshape(-1, 2).T
+        n = [len(x[3]) for x in held]
+        doc, tag, at = np.repeat([x[1] for x in held], n), np.repeat([x[2] for x in held], n), np.concatenate([x[3] for x in held])
+        order, low = _lowest(h, h2, doc)
+        h, h2, doc, tag, at = h[order], h2[order], doc[order], tag[order], at[order]
+        again = doc > low
+        if kind == FRESH:  # a repeat need not meet its like, so it goes anywhere
+            h, at = np.where(again, doc * np.int64(-7046029254386353131), h), at << 2 | np.where(again, KNOWN, FRESH)
+        else:
+            h, h2, doc, tag, at = h[~again], h2[~again], doc[~again], tag[~again], at[~again] << 2 | OLD
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, h2, doc, tag, at)], ["h", "h2", "doc", "tag", "at"])
 
     for batch in batches:
         for doc, tag, z, places in zip(*(batch.column(c) for c in ("doc", "tag", "z", "places"))):
-            doc, tag, words = doc.as_py(), tag.as_py(), _unpack(z.as_py()).split()
+            words = _unpack(z.as_py()).split()
             n = len(words) - window + 1  # starts of windows
             if n <= 0:
                 continue
             at = places.values.to_numpy(zero_copy_only=False)
-            near = np.zeros(len(words) + 1, np.int64)
             at = at[at < len(words)]
+            near = np.zeros(len(words) + 1, np.int64)
             np.add.at(near, np.maximum(at - (window - gram), 0), 1)
             np.subtract.at(near, at + 1, 1)
+            at = np.flatnonzero(np.cumsum(near)[:n] > 0)
+            if not len(at):
+                continue
             joined = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
             del words
-            for i in np.flatnonzero(np.cumsum(near)[:n] > 0).tolist():
-                w = joined[(ends[i - 1] if i else 0) : ends[i + window - 1] - 1]
-                if low.setdefault(w, doc) > doc:
-                    low[w] = doc
-                rows.append((w, doc, tag, i))
-                size += len(w)
-                if size >= flush_bytes:
-                    yield flush()
-                    rows, low, size = [], {}, 0
-    if rows:
+            starts = np.concatenate(([0], ends[:-1]))
+            digest = xxhash.xxh3_128_digest
+            held.append((b"".join([digest(joined[i:j]) for i, j in zip(starts[at].tolist(), (ends[at + window - 1] - 1).tolist())]), doc.as_py(), tag.as_py(), at))
+            size += len(at)
+            if size >= flush_rows:
+                yield flush()
+                held, size = [], 0
+    if held:
         yield flush()
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _window_rows sorted by h -> (doc, tag, at): windows that also start in a smaller document."""
 
-    def closed(t: pa.Table) -> pa.RecordBatch:
-        h, doc, kind = (t.column(c).to_numpy() for c in ("h", "doc", "kind"))
-        known = kind == KNOWN
-        first = np.concatenate(([True], h[1:] != h[:-1]))
-        group = np.cumsum(first) - 1
-        w = t.column("w").combine_chunks()
-        if not pc.all(pc.or_(pc.equal(w, w.take(pa.array(np.flatnonzero(first)[group]))), pa.array(known))).as_py():
-            names = {}  # words with equal hashes or beside a known repeat: every sequence is a group of its own
-            group = np.array([names.setdefault((x, y), len(names)) for x, y in zip(group.tolist(), w.to_pylist())])
-        low = np.full(int(group.max()) + 1, LAST)
-        np.minimum.at(low, group[~known], doc[~known])
-        keep = known | ((kind == FRESH) & (doc > low[group]))
-        return t.select(["doc", "tag", "at"]).filter(pa.array(keep)).combine_chunks()
+    def closed(h, h2, doc, tag, at) -> pa.RecordBatch:
+        known = at & 3 == KNOWN
+        order, low = _lowest(h, h2, np.where(known, LAST, doc))
+        doc, tag, at, known = doc[order], tag[order], at[order], known[order]
+        keep = known | ((at & 3 == FRESH) & (doc > low))
+        return pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(tag[keep]), pa.array((at[keep] >> 2).astype(np.int32))], ["doc", "tag", "at"])
 
     held = None
     for batch in batches:
-        new = pa.Table.from_batches([batch])
-        held = new if held is None else pa.concat_tables([held, new])
-        h = held.column("h").to_numpy()
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        h = held[0]
         if len(h) > 100_000 and h[0] != h[-1]:
             last = int(np.flatnonzero(h != h[-1])[-1]) + 1
-            yield from closed(held.slice(0, last)).to_batches()
-            held = held.slice(last)
-    if held is not None and held.num_rows:
-        yield from closed(held).to_batches()
+            yield closed(*(x[:last] for x in held))
+            held = [x[last:] for x in held]
+    if held is not None and held[0].size:
+        yield closed(*held)
 
 
 def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -281,7 +284,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 class SubstringIndex:
     """Opens the index in a shared folder, or makes a new one there."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, *, window: int = 13, gram: int = 4, fanout: int = 3, hot_share: int = 8):
+    def __init__(self, spark: SparkSession, path: str | None = None, *, window: int = 13, gram: int = 4, fanout: int = 2, hot_share: int = 8):
         self.spark, self.store, self.fanout, self.hot_share = spark, Store(spark, path or scratch(spark, "substring-index")), fanout, hot_share
         new = {"next": 1, "buckets": partitions(spark), "window": window, "gram": gram, "runs": [], "texts": []}
         self.manifest = json.loads(self.store.read_bytes("manifest.json")) if self.store.exists("manifest.json") else new
@@ -390,7 +393,9 @@ class SubstringIndex:
         """
         spark, window, gram = self.spark, self.window, self.gram
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-        texts = batch.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
+        texts = batch.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"))
+        again = not texts.groupBy("doc").count().where("count > 1").isEmpty()  # ids of several rows, which their texts tell apart
+        texts = texts.select("doc", (F.xxhash64("text") if again else F.lit(0).cast("long")).alias("tag"), "text")
         number = self.manifest["next"]
         stored = f"texts-{number:06d}"
         self._write(texts.mapInArrow(_compress, TEXTS), stored, "doc")
@@ -421,7 +426,7 @@ class SubstringIndex:
         return out
 
 
-def substring_dedup(docs: DataFrame, *, batches: int = 4, **options) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, batches: int = 2, **options) -> DataFrame:
     """All documents, inserted in `batches` batches by ranges of ids of about equal numbers of rows, smallest ids first
     (null ids last), into an index of its own; so each batch meets the documents with smaller ids in its history."""
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)], 10_000).alias("at")).first()["at"]
