@@ -226,14 +226,24 @@ def test_suffix_lm(spark, docs):
     count = Counter(t for r in rows if not held(r) for t in tokens(r))
     n, v = sum(count.values()), len(count)
     train = df.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % 10 != 0)
-    model = suffix_lm.train(train, head_words=10, next_words=5, min_gain=1.0, min_count=2)
+    model = suffix_lm.train(train, head_words=10, next_words=5, min_gain=1.0, min_count=2, every=1, discount=0.3)
     got = suffix_lm.score(df, model).collect()
     base = lambda r: sum(np.log10((count[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens(r))
     want = sorted((str(r[0]), len(tokens(r)), sum(count[t] > 0 for t in tokens(r)), round(base(r), 6)) for r in rows)
     assert sorted((str(g.doc_id), g.n_tokens, g.n_known, round(g.base_score, 6)) for g in got) == want
     assert all(g.score < 0 and np.isfinite(g.score) and g.train_tokens == n for g in got)
-    # probabilities of all next symbols add up to one in every state; so do those of all bytes in every node
-    assert np.allclose((10.0 ** model.context.logp.astype(float)).sum(1), 1, atol=1e-4)
+    # probabilities of all next symbols add up to one in every state of either kind; so do those of all bytes in every node
+    kinds = sorted({w for r in rows for w in words(r[1].lower() if r[1] else "")}) + [b""]
+    states = model.context.states(suffix_lm.suffix_codes(kinds, model.suffix))
+    every = np.arange(len(model.context.root))
+    assert (np.stack(states) >= 0).any() and model.phrases.count() > 0
+    for i in range(len(kinds)):
+        p = model.context.probability(states, np.full(len(every), i), every)
+        assert p.sum() == pytest.approx(1) and (p > 0).all()
+        for r in model.phrases.limit(3).collect():
+            assert sum((r["counts"].get(w, 0) + r["rest"] * p[w]) / r["total"] for w in every.tolist()) == pytest.approx(1)
+    # the other words' shares add up to one as well: their counts less the discount, and what that leaves
+    assert model.other - model.discount * (model.distinct - model.end) + model.spread == pytest.approx(model.other)
     width = model.tree.logp.shape[1]
     seen = (10.0 ** model.tree.logp.astype(float)).sum(1) + (suffix_lm.SYMBOLS - width) * 10.0 ** model.tree.logp[:, 0].astype(float)
     assert np.allclose(seen, 1, atol=2e-2)
