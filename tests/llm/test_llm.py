@@ -258,7 +258,7 @@ def test_byte_bpe(spark, docs):
     ranks = byte_bpe.read_ranks(path)
     own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     want = sorted((str(r[0]), own.encode_ordinary(r[1] or "")) for r in rows)
-    for options in ({"head_words": 5, "head_bytes": 3, "long_word": 6}, {"head_words": 0}, {}):
+    for options in ({"table_words": 5, "long_word": 6}, {"table_words": 0}, {}):
         got = byte_bpe.encode(df, **options).collect()
         assert sorted((str(g.doc_id), list(g.ids)) for g in got) == want
     assert byte_bpe.encode(df.where("false")).count() == 0
