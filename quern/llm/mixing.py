@@ -127,24 +127,30 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, cap: float = 3.0, seed: int = 0, bl
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
     """Write the mixed documents, a folder for each shard, in shuffled order inside it."""
-    out = mixed_rows(docs, keep_plan=True, **options)
-    out.repartition("shard").sortWithinPartitions("shard", "place").drop("place").write.partitionBy("shard").parquet(path)
+    mixed_rows(docs, keep_plan=True, **options).write.partitionBy("shard").parquet(path)
 
 
 def mixed_rows(docs: DataFrame, keep_plan: bool = False, **options) -> DataFrame:
-    """The mix itself: every document as often as it is drawn, with its own columns. The one document of a
-    source that is cut has its leading words, joined by one space."""
-    plan, copies = mix(docs, **options)
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"_tie": F.when(F.col("doc_id").isNull(), F.xxhash64("text")), "_n": word_count(F.col("text"))}).alias("d")
-    draws = copies.groupBy("doc_id", "tie", "source", "size").agg(F.collect_list(F.struct("words", "shard", "place", "pass")).alias("draws"), F.count("*").alias("rows"))
-    draws = draws.withColumn("draws", F.array_distinct("draws")).alias("c")
-    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("c.doc_id")) & F.col("d._tie").eqNullSafe(F.col("c.tie")) & F.col("d.source").cast("string").eqNullSafe(F.col("c.source")) & (F.col("d._n") == F.col("c.size"))
-    rows = keyed.join(draws, on).select("d.*", F.explode("c.draws").alias("draw"))
+    """The mix itself: every document as often as it is drawn, with its own columns, shard by shard and in shuffled order
+    inside a shard. The one document of a source that is cut has its leading words, joined by one space.
+    keep_plan adds the columns shard and place."""
+    _, copies = mix(docs, **options)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("tie"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(*key).alias("key"), text.alias("text"))
+    names = ["doc_id", "tie", "source", "size"]
+    draws = copies.groupBy(*names).agg(F.array_distinct(F.collect_list(F.struct("words", "shard", "place", "pass"))).alias("draws"))
+    draws = draws.select(F.struct(*names).alias("drawn"), "draws")
+    same = F.lit(True)
+    for k in names:
+        same = same & F.col(f"key.{k}").eqNullSafe(F.col(f"drawn.{k}"))
+    rows = keyed.join(draws, same).select("row", "key", "text", F.explode("draws").alias("draw"))
     leading = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.lit(1), F.col("draw.words").cast("int"))), " ")
-    text = F.when(F.col("draw.words") < F.col("_n"), leading).otherwise(F.col("text"))
-    out = rows.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns], "draw.shard", "draw.place")
-    return out if keep_plan else out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    cut = F.when(F.col("draw.words") < F.col("key.size"), leading).otherwise(F.col("row.text"))
+    rows = rows.select("row", cut.alias("text"), F.col("draw.shard").alias("shard"), F.col("draw.place").alias("place"))
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "place")
+    out = [F.col("text").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return rows.select(*out, *[F.col(c) for c in ("shard", "place") if keep_plan])
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, ties, repeated rows, empty and long texts and extra columns."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quern.llm import byte_bpe, components, crf, exact_dedup, line_dedup, mixing, quality, rp_forest, simhash_dedup, substring_dedup, suffix_lm, toxicity
+from quern.llm import byte_bpe, components, crf, exact_dedup, line_dedup, mixing, quality, rp_forest, simhash_dedup, substring_dedup, suffix_lm, toxicity, training
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -120,7 +121,13 @@ def test_mixing(spark, docs):
     assert copies.agg(F.sum("words")).first()[0] == sum(taken.values())
     shard = Counter(r["shard"] for r in copies.select("shard").collect())
     assert set(shard) <= set(range(4))
+    clash = df.withColumns({"_tie": F.lit(1), "_n": F.lit(2), "shard": F.lit("own"), "row": F.lit(3), "draw": F.lit(4)})
+    mixed = mixing.mixed_rows(clash, block_words=50, shards=4).collect()
+    assert {(r._tie, r._n, r.shard, r.row, r.draw) for r in mixed} == {(1, 2, "own", 3, 4)}
     out = mixing.mixed_rows(df, block_words=50, shards=4)
+    placed = [(r.shard, r.place) for r in mixing.mixed_rows(df.select("doc_id", "text", "source"), keep_plan=True, block_words=50, shards=4).coalesce(1).collect()]
+    assert [s for s, _ in placed] == [s for s, g in itertools.groupby(s for s, _ in placed) for _ in g]
+    assert all(a[1] <= b[1] for a, b in zip(placed, placed[1:]) if a[0] == b[0]) and len({s for s, _ in placed}) == 4
     assert out.columns == df.columns and sum(len(words(r["text"])) for r in out.collect()) == pytest.approx(sum(taken.values()), rel=0.1)
     assert mixing.mix(df.where("false"))[0].count() == 0
 
@@ -429,6 +436,17 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score(df, blank).collect())
 
 
+def test_labelled_sample_passes_over_long_texts(spark):
+    docs = spark.createDataFrame([(i, "x" * (5000 if i % 2 else 10)) for i in range(50)] + [(4, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(4, 1)], "doc_id long, toxic int")
+    got = training.labelled_sample(docs, labels, "toxic", 4, 2, 1000, 300)
+    want = [i for i in range(0, 50, 2) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert got["_id"].tolist() == want and got.set_index("_id").loc[4].tolist() == ["x" * 10, 1]
+    assert len(training.labelled_sample(docs, labels.where("false"), "toxic", 4, 2, 1000, 300)) == 0
+    with pytest.raises(ValueError, match="no labelled text"):
+        training.labelled_sample(docs, labels, "toxic", 4, 2, 1000, 5 - 5)
+
+
 def test_quality(spark):
     good = lambda rng: " ".join(rng.choice(["the", "of", "house", "river", "stone", "walking"]) for _ in range(12)).capitalize() + "."
     junk = lambda rng: " ".join(rng.choice(["BUY!!", "NOW###", "$$$", "click$$$"]) for _ in range(12))
