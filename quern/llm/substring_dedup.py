@@ -190,18 +190,19 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, kind
     held: list[tuple] = []
     size = 0
 
-    def flush() -> pa.RecordBatch:
+    def rows(h, h2, doc, tag, at) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, h2, doc, tag, at)], ["h", "h2", "doc", "tag", "at"])
+
+    def flush() -> Iterator[pa.RecordBatch]:
         h, h2 = np.frombuffer(b"".join([x[0] for x in held]), "<i8").reshape(-1, 2).T
         n = [len(x[3]) for x in held]
         doc, tag, at = np.repeat([x[1] for x in held], n), np.repeat([x[2] for x in held], n), np.concatenate([x[3] for x in held])
         order, low = _lowest(h, h2, doc)
-        h, h2, doc, tag, at = h[order], h2[order], doc[order], tag[order], at[order]
-        again = doc > low
-        if kind == FRESH:  # a repeat need not meet its like, so it goes anywhere
-            h, at = np.where(again, doc * np.int64(-7046029254386353131), h), at << 2 | np.where(again, KNOWN, FRESH)
-        else:
-            h, h2, doc, tag, at = h[~again], h2[~again], doc[~again], tag[~again], at[~again] << 2 | OLD
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, h2, doc, tag, at)], ["h", "h2", "doc", "tag", "at"])
+        first = doc[order] == low
+        yield rows(*(x[order][first] for x in (h, h2, doc, tag)), at[order][first] << 2 | kind)
+        if kind == FRESH and not first.all():  # a repeat need not meet its like, so it goes anywhere; its document's stay together
+            again = np.sort(order[~first])
+            yield rows(doc[again] * np.int64(-7046029254386353131), np.zeros(len(again), np.int64), doc[again], tag[again], at[again] << 2 | KNOWN)
 
     for batch in batches:
         for doc, tag, z, places in zip(*(batch.column(c) for c in ("doc", "tag", "z", "places"))):
@@ -225,10 +226,10 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, kind
             held.append((b"".join([digest(joined[i:j]) for i, j in zip(starts[at].tolist(), (ends[at + window - 1] - 1).tolist())]), doc.as_py(), tag.as_py(), at))
             size += len(at)
             if size >= flush_rows:
-                yield flush()
+                yield from flush()
                 held, size = [], 0
     if held:
-        yield flush()
+        yield from flush()
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,9 +355,12 @@ class SubstringIndex:
         limit = max(4 * OFTEN, rows.where("at >= 0").count() // (self.hot_share * self.buckets))
         often = rows.where("at < 0").groupBy("key").agg(F.sum("doc").alias("n")).where(F.col("n") > limit)
         hot = staged(often.select("key", F.ceil(F.col("n") / limit).cast("int").alias("salts")), "substring-hot")
-        dealt = rows.where("at >= 0").join(F.broadcast(hot), "key", "left")  # at most hot_share * buckets keys
-        salted = F.when(F.col("salts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")))
-        dealt = dealt.select(salted.alias("key"), "doc", "at", F.col("salts").isNotNull().alias("hot"))
+        rows = rows.where("at >= 0")
+        dealt = rows.select("key", "doc", "at", F.lit(False).alias("hot"))
+        if not hot.isEmpty():  # hot_share * buckets keys at most
+            salted = F.xxhash64("key", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")).alias("key")
+            often = rows.join(F.broadcast(hot), "key").select(salted, "doc", "at", F.lit(True).alias("hot"))
+            dealt = dealt.join(F.broadcast(hot), "key", "left_anti").unionByName(often)
         return self._write_run(dealt, hot, 0, self.manifest["next"])
 
     def _candidates(self, run: dict) -> tuple[DataFrame, DataFrame | None]:
@@ -366,15 +370,14 @@ class SubstringIndex:
         marked = new.withColumns({"lo": F.min("doc").over(by_key), "hi": F.max("doc").over(by_key)})
         found = F.col("hot") | (F.col("lo") < F.col("hi"))
         keys, hot = new.where(~F.col("hot")).select("key").distinct(), self._hot(run).select("key")
-        old = []
+        old, also = [], []
         for i, r in enumerate(self.runs):
             known = self._run(r).where(~F.col("hot")).select("key").distinct().withColumn(f"in_{i}", F.lit(True))
             marked = marked.join(known, "key", "left")
             found = found | F.col(f"in_{i}").isNotNull()
             old.append(self._run(r).join(keys, "key", "left_semi").select("doc", "at"))
             if r["hot"]:  # frequent in history: the batch's rows under the plain key are candidates
-                marked = marked.join(F.broadcast(self._hot(r).select("key", F.lit(True).alias(f"hot_{i}"))), "key", "left")
-                found = found | F.col(f"hot_{i}").isNotNull()
+                also.append(new.join(F.broadcast(self._hot(r).select("key")), "key", "left_semi").select("doc", "at"))
             if r["hot"] or run["hot"]:
                 asked = self._hot(r).join(F.broadcast(hot), "key", "left_semi").unionByName(F.broadcast(self._hot(r)).join(keys, "key", "left_semi").select("key", "salts")) if r["hot"] else None
                 more = hot
@@ -382,7 +385,7 @@ class SubstringIndex:
                     more = more.unionByName(asked.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.xxhash64("key", k))).alias("key")))
                 old.append(self._run(r).join(F.broadcast(more.distinct()), "key", "left_semi").select("doc", "at"))
         places = lambda rows: rows.groupBy("doc").agg(F.collect_set("at").alias("places"))
-        return places(marked.where(found).select("doc", "at")), places(reduce(DataFrame.unionByName, old)) if old else None
+        return places(reduce(DataFrame.unionByName, also, marked.where(found).select("doc", "at"))), places(reduce(DataFrame.unionByName, old)) if old else None
 
     def insert(self, batch: DataFrame) -> DataFrame:
         """Dedup the batch against itself and all earlier batches, and index it: doc_id, n_words, n_removed, kept_sha256.
