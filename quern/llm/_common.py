@@ -24,8 +24,9 @@ ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 @contextlib.contextmanager
 def cleaned(spark: SparkSession, ordered: bool = False) -> Iterator[None]:
-    """While a table is written: shuffle files go as soon as it ends; with ordered, sorted bucket files are taken as sorted."""
-    wanted = {CLEANUP: "true"} | ({ORDERED: "true"} if ordered else {})
+    """While a table is written: shuffle files go as soon as it ends, plans with long literals are printed in short; with
+    ordered, sorted bucket files are taken as sorted."""
+    wanted = {CLEANUP: "true", "spark.sql.maxPlanStringLength": "65536"} | ({ORDERED: "true"} if ordered else {})
     before = {k: spark.conf.get(k) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)

@@ -233,7 +233,7 @@ def test_suffix_lm(spark, docs):
     count = Counter(t for r in rows if not held(r) for t in tokens(r))
     n, v = sum(count.values()), len(count)
     train = df.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % 10 != 0)
-    model = suffix_lm.train(train, head_words=10, next_words=5, min_gain=1.0, min_count=2, every=1, discount=0.3)
+    model = suffix_lm.train(train, head_words=10, next_words=5, min_gain=1.0, min_count=2, least=0.1, every=1, discount=0.3)
     got = suffix_lm.score(df, model).collect()
     base = lambda r: sum(np.log10((count[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens(r))
     want = sorted((str(r[0]), len(tokens(r)), sum(count[t] > 0 for t in tokens(r)), round(base(r), 6)) for r in rows)
@@ -265,7 +265,7 @@ def test_byte_bpe(spark, docs):
     ranks = byte_bpe.read_ranks(path)
     own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     want = sorted((str(r[0]), own.encode_ordinary(r[1] or "")) for r in rows)
-    for options in ({"table_words": 5, "long_word": 6}, {"table_words": 0}, {}):
+    for options in ({"table_words": 5, "long_word": 6}, {"table_words": 0}, {"sample_docs": 10}, {}):
         got = byte_bpe.encode(df, **options).collect()
         assert sorted((str(g.doc_id), list(g.ids)) for g in got) == want
     assert byte_bpe.encode(df.where("false")).count() == 0
@@ -282,7 +282,7 @@ def test_byte_bpe(spark, docs):
         w = bytes(r["word"])
         assert list(r["ids"]) == (own._encode_single_piece(w) if w else []) == (list(byte_bpe.fold(w, ranks)) if w else [])
     long = ("abc*" * 4000).encode()
-    assert list(byte_bpe.fold(long, ranks)) == own._encode_single_piece(long)
+    assert list(byte_bpe.fold(long, ranks)) == list(byte_bpe.fold_long(long, ranks)) == own._encode_single_piece(long)
 
 
 def test_rp_forest(spark):
