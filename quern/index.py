@@ -215,7 +215,9 @@ class SearchIndex:
 
     def segment(self, segment_id: int) -> Segment:
         """One published segment, less its tombstones."""
-        meta = next(m for m in self.segment_metas() if m.id == segment_id)
+        meta = self.segments().find(segment_id)
+        if meta is None:
+            raise KeyError(f"no segment {segment_id}")
         dead = self.tombstones()
         return Segment(meta, seg.alive(self._table("docs", DOCS, [segment_id]), dead), seg.alive(self._table("postings", POSTINGS, [segment_id]), dead))
 
@@ -322,6 +324,8 @@ class SearchIndex:
             "last_batch": self.last_batch,
         }
         self.store.save_manifest(done)
+        if not lost:
+            self.store.remove(f"tombstones/{tomb}")
         consumed = [n for n in self.store.names("log") if n.split(".")[0].isdigit() and int(n.split(".")[0]) < self._next_log]
         self.manifest, self._single, self._batches = done, [], []
         for n in consumed:
