@@ -158,7 +158,7 @@ def _rerank(batches: Iterator[pa.RecordBatch], dim: int, kind: str, keep: int, m
     yield best.rows()
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, trees: int = 20, leaf_points: int | None = None, search_share: float = 0.48, search_points: int = 2000, sample_points: int = 20_000, seed: int = 0) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, trees: int = 24, leaf_points: int | None = None, search_share: float = 0.6, search_points: int = 8000, sample_points: int = 20_000, seed: int = 0) -> DataFrame:
     """vectors(vec_id, embedding), queries(vec_id, embedding) -> query_id, rank, vec_id, score.
 
     The k nearest found by Euclidean distance, ties to the smaller id, without the query's own id.
