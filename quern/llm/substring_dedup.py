@@ -15,7 +15,7 @@ A batch goes through four steps:
 1. Its texts and its run are written.
 2. Merge: the new run meets itself and the historical runs, in key order. Keys that two documents share
    make candidates, in the batch and in history.
-3. Verify: windows around candidates meet by a 128-bit digest of their words; a window of the batch
+3. Verify: windows around candidates meet by a 94-bit digest of their words; a window of the batch
    whose digest starts in a smaller document is a repeat. Equal windows of a task's flush are one row
    beforehand, so a passage in very many documents costs a row for each flush.
 4. Remove: every text of the batch loses the words that repeats cover.
@@ -156,7 +156,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, flus
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1).compress
+    press = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         for part in slices(batch, "text"):
             z = [press(x) for x in part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()]
@@ -171,9 +171,14 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-WINDOWS = "h long, h2 long, doc long, tag long, at long"
+WINDOWS = "h long, v long, doc long, tag long"
 FRESH, KNOWN, OLD = 0, 1, 2  # to be decided; a repeat already; of history, which only tells what is there
-# in a row, at is four times the window's place and its kind
+#: h has 64 bits of a window's digest; v has 30 more, then 32 for the window's place and 2 for its kind.
+PLACE = 34
+
+
+def _packed(h2: np.ndarray, at: np.ndarray, kind: int) -> np.ndarray:
+    return h2 << PLACE | at << 2 | kind
 
 
 def _lowest(h: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,24 +190,26 @@ def _lowest(h: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, kind: int, flush_rows: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """(doc, tag, z, places) -> a 128-bit digest of the words of each window around a place. Of equal windows of a flush,
+    """(doc, tag, z, places) -> a 94-bit digest of the words of each window around a place. Of equal windows of a flush,
     only those of the smallest document go on; the others are repeats already."""
     held: list[tuple] = []
     size = 0
 
-    def rows(h, h2, doc, tag, at) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, h2, doc, tag, at)], ["h", "h2", "doc", "tag", "at"])
+    def rows(h, v, doc, tag) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, v, doc, tag)], ["h", "v", "doc", "tag"])
 
     def flush() -> Iterator[pa.RecordBatch]:
         h, h2 = np.frombuffer(b"".join([x[0] for x in held]), "<i8").reshape(-1, 2).T
+        h2 = h2 << PLACE >> PLACE  # the bits that a row has room for
         n = [len(x[3]) for x in held]
         doc, tag, at = np.repeat([x[1] for x in held], n), np.repeat([x[2] for x in held], n), np.concatenate([x[3] for x in held])
         order, low = _lowest(h, h2, doc)
         first = doc[order] == low
-        yield rows(*(x[order][first] for x in (h, h2, doc, tag)), at[order][first] << 2 | kind)
+        own = order[first]
+        yield rows(h[own], _packed(h2[own], at[own], kind), doc[own], tag[own])
         if kind == FRESH and not first.all():  # a repeat need not meet its like, so it goes anywhere; its document's stay together
             again = np.sort(order[~first])
-            yield rows(doc[again] * np.int64(-7046029254386353131), np.zeros(len(again), np.int64), doc[again], tag[again], at[again] << 2 | KNOWN)
+            yield rows(doc[again] * np.int64(-7046029254386353131), _packed(np.zeros(len(again), np.int64), at[again], KNOWN), doc[again], tag[again])
 
     for batch in batches:
         for doc, tag, z, places in zip(*(batch.column(c) for c in ("doc", "tag", "z", "places"))):
@@ -235,16 +242,17 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, kind
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _window_rows sorted by h -> (doc, tag, at): windows that also start in a smaller document."""
 
-    def closed(h, h2, doc, tag, at) -> pa.RecordBatch:
-        known = at & 3 == KNOWN
-        order, low = _lowest(h, h2, np.where(known, LAST, doc))
-        doc, tag, at, known = doc[order], tag[order], at[order], known[order]
-        keep = known | ((at & 3 == FRESH) & (doc > low))
-        return pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(tag[keep]), pa.array((at[keep] >> 2).astype(np.int32))], ["doc", "tag", "at"])
+    def closed(h, v, doc, tag) -> pa.RecordBatch:
+        known = v & 3 == KNOWN
+        order, low = _lowest(h, v >> PLACE, np.where(known, LAST, doc))
+        v, doc, tag, known = v[order], doc[order], tag[order], known[order]
+        keep = known | ((v & 3 == FRESH) & (doc > low))
+        at = v[keep] >> 2 & (1 << PLACE - 2) - 1
+        return pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(tag[keep]), pa.array(at.astype(np.int32))], ["doc", "tag", "at"])
 
     held = None
     for batch in batches:
-        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
         h = held[0]
         if len(h) > 100_000 and h[0] != h[-1]:
