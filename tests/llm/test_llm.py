@@ -258,6 +258,46 @@ def test_suffix_lm(spark, docs):
     assert all(g.n_known == 0 and np.isfinite(g.score) for g in empty)
 
 
+def test_suffix_lm_all_phrases(spark):
+    """By default, every phrase that comes twice with the same word after it is a state, and each place is scored by its phrase."""
+    rng = random.Random(4)
+    texts = [" ".join(f"u{i}x{j}" if j % 3 == 0 else rng.choice("abcdefgh") for j in range(60)) for i in range(12)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = suffix_lm.train(df, phrase_gain=-100.0)
+    after = {}
+    for t in texts:
+        w = t.split() + [None]
+        for i in range(3, len(w)):
+            after.setdefault(tuple(w[i - 3 : i]), Counter())[w[i]] += 1
+    want = sorted((c.total(), sorted(n for n in c.values() if n > 1)) for c in after.values())
+    got = model.phrases.collect()
+    assert sorted((r["total"] - model.phrase_smoothing, sorted(r["counts"].values())) for r in got) == want and len(want) > 600
+    assert all(r["rest"] == r["total"] - sum(r["counts"].values()) for r in got)
+    # a place's probability is its phrase's, and that of its bytes where no phrase stands before
+    number = {**model.number, None: model.end}
+    kinds = [w for w in model.number] + [b""]
+    states = model.context.states(suffix_lm.suffix_codes(kinds, model.suffix))
+    for g in suffix_lm.score(df, model, flush_rows=100).collect():
+        w, total = [b"", *(x.encode() for x in texts[g.doc_id].split()), None], 0.0
+        for i in range(1, len(w)):
+            p = model.context.probability(states, np.array([kinds.index(w[i - 1])]), np.array([number[w[i]]]))[0]
+            if i > 3:
+                c = after[tuple(x.decode() for x in w[i - 3 : i])]
+                own = {k: n for k, n in c.items() if n > 1}
+                n = own.get(w[i] and w[i].decode(), 0)
+                p = (n + (c.total() - sum(own.values()) + model.phrase_smoothing) * p) / (c.total() + model.phrase_smoothing)
+            total += np.log10(p)
+        assert g.score == pytest.approx(total, rel=1e-5)
+
+
+def test_suffix_lm_rare_end(spark):
+    """The end of a text counts as known and with its own count, also where many words are more frequent."""
+    df = spark.createDataFrame([(1, "a a b b c c d d")], "doc_id long, text string")
+    g = suffix_lm.score(df, suffix_lm.train(df, head_words=2, next_words=2)).first()
+    assert g.n_known == g.n_tokens == 9
+    assert g.base_score == pytest.approx(8 * np.log10(2.1 / 9.6) + np.log10(1.1 / 9.6))
+
+
 def test_byte_bpe(spark, docs):
     tiktoken = pytest.importorskip("tiktoken")
     rows, df = docs
