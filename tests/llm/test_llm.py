@@ -325,6 +325,22 @@ def test_byte_bpe(spark, docs):
     assert list(byte_bpe.fold(long, ranks)) == list(byte_bpe.fold_long(long, ranks)) == own._encode_single_piece(long)
 
 
+def test_pair_table():
+    """The table of pairs, which the driver holds, has one pair for each piece at most, and folding by it is folding by ranks."""
+    ranks = byte_bpe.read_ranks(byte_bpe.default_vocabulary()[0])
+    rows = list(byte_bpe.pair_ranks(ranks))
+    table, pieces, rng = dict(rows), list(ranks), random.Random(3)
+    assert len(rows) == len(table) <= len(ranks)
+    for _ in range(5000):
+        word = b"".join(rng.choices(pieces, k=rng.randint(1, 4)))[rng.randint(0, 2) :]
+        ids = [ranks[word[i : i + 1]] for i in range(len(word))]
+        while len(ids) > 1 and (low := min(found := [table.get(a * byte_bpe.SHIFT + b, byte_bpe.NEVER) for a, b in itertools.pairwise(ids)])) != byte_bpe.NEVER:
+            i = found.index(low)
+            ids[i : i + 2] = [low]
+        assert ids == [ranks[x] for x in byte_bpe.fold_to(word, ranks, 1)]
+        assert word in ranks or ids == list(byte_bpe.fold(word, ranks)) == list(byte_bpe.fold_long(word, ranks))
+
+
 def test_rp_forest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 8)).round(2)
