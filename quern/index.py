@@ -249,9 +249,10 @@ class SearchIndex:
             hits = ids.join(scores, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         return plan.ranked(hits, limit or self.options.max_hits)
 
-    def search_doc_ids(self, q: Query | str) -> DataFrame:
-        """The ids of search's hits, in id order."""
-        return self.search(q).select("doc_id").orderBy("doc_id")
+    def search_doc_ids(self, q: Query | str, limit: int | None = None) -> DataFrame:
+        """The ids of all matching documents, in id order: max_hits cuts a ranking, and none is needed here. limit: those of the best hits only."""
+        ids = self.search(q, limit=limit) if limit else plan.matching(self._ready(q), self.live_tf(), self.live_docs())
+        return ids.select("doc_id").orderBy("doc_id")
 
     def brute_force(self, q: Query | str) -> DataFrame:
         """doc_id of matching documents by analysing every text: no index, no score, no limit."""

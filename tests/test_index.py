@@ -74,6 +74,14 @@ def test_scores(spark, logs):
     assert [r[0] for r in logs.search_doc_ids("error and timeout").collect()] == [1, 6]
 
 
+def test_ids_are_not_cut_at_max_hits(spark, tmp_path):
+    index = SearchIndex(spark, str(tmp_path), max_hits=2)
+    index.add_all(spark.createDataFrame(LOGS, "doc_id long, text string"))
+    assert ids(index.search("error")) == [1, 3]
+    assert [r[0] for r in index.search_doc_ids("error or timeout").collect()] == [1, 3, 4, 6]
+    assert [r[0] for r in index.search_doc_ids("error", limit=2).collect()] == [1, 3]
+
+
 def test_empty_closed_and_bad_ids(spark, tmp_path):
     index = SearchIndex(spark, str(tmp_path))
     for bad in (Term(""), And(Term(""), Term(" "))):
