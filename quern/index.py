@@ -22,7 +22,7 @@ from quern.operators.analysis import DEFAULT, count_tokens, term_freq, term_list
 from quern.plans import compile as plan
 from quern.plans.query import Query, normal, optimize, parse
 from quern.sources import changes as log
-from quern.sources.store import Store
+from quern.sources.store import Store, reading, spread
 
 
 class EmptyQuery(ValueError):
@@ -55,7 +55,13 @@ class Options:
 
 
 DOCS, POSTINGS = "segment_id long, doc_id long, text string, length long", "segment_id long, doc_id long, term string, tf long"
+#: What is stored of a document: its text and the terms of its text with their counts, from which postings are made.
+STORED = f"{DOCS}, counts array<struct<term: string, tf: bigint>>"
 DEAD = "segment_id long, doc_id long"
+#: Bytes of a row group of texts, and of what one task reads when a segment is written: they bound what it sorts, whatever the corpus.
+GROUP, READ = 16 << 20, 32 << 20
+#: Tombstones whose files have no more bytes go to all executors; others are joined by shuffles.
+FEW = 8 << 20
 
 
 class SearchIndex:
@@ -149,7 +155,7 @@ class SearchIndex:
         rows = changes.select(seq.alias("seq"), F.col("op").cast("int").alias("op"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         name = f"{self._next_log:012d}"
         checked = rows.withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")).otherwise(F.raise_error(F.lit("document ids are positive"))))
-        checked.withColumn("seq", F.col("seq") + self._seq).write.mode("overwrite").parquet(self.store.full(f"log/{name}"))
+        checked.withColumn("seq", F.col("seq") + self._seq).write.mode("overwrite").option("parquet.block.size", GROUP).parquet(self.store.full(f"log/{name}"))
         count, last, total = log.fingerprint(self._logged([name]))
         mark = {"fingerprint": [count, last, total], "next_seq": max(self._seq, last + 1), "stream_batch": stream_batch}
         self.store.write_bytes(f"log/{name}.mark", json.dumps(mark).encode())
@@ -184,13 +190,26 @@ class SearchIndex:
         names = self.manifest["tombstones"]
         return self.spark.read.schema(DEAD).parquet(*[self.store.full(f"tombstones/{n}") for n in names]) if names else self.spark.createDataFrame([], DEAD)
 
+    def _alive(self, table: DataFrame) -> DataFrame:
+        names = self.manifest["tombstones"]
+        if not names:
+            return table
+        few = sum(self.store.size(f"tombstones/{n}") for n in names) <= FEW
+        return seg.alive(table, F.broadcast(self.tombstones()) if few else self.tombstones())
+
     def _published(self, table: DataFrame) -> DataFrame:
-        if self.manifest["tombstones"]:
-            table = seg.alive(table, self.tombstones())
+        table = self._alive(table)
         if self._single or self._batches:
-            table = table.join(log.latest(self.changes()).select("doc_id"), "doc_id", "left_anti")
+            table = table.join(log.changed(self.changes()), "doc_id", "left_anti")
         return table
 
+    def _stored(self, ids: list[int] | None = None) -> DataFrame:
+        """The documents of segments, with their terms and counts. In an index from before `counts` was stored, they come from the postings."""
+        if self.manifest["format"] > 1:
+            return self._table("docs", STORED, ids)
+        lists = self._table("postings", POSTINGS, ids).groupBy(*seg.KEY).agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("counts"))
+        return self._table("docs", DOCS, ids).join(lists, seg.KEY, "left")
+
     def live_docs(self) -> DataFrame:
         """(doc_id, text, length) of all live documents, those without terms too."""
         docs = self._published(self._table("docs", DOCS)).select("doc_id", "text", "length")
@@ -204,6 +223,11 @@ class SearchIndex:
         rows = self._published(self._table("postings", POSTINGS)).select("doc_id", "term", "tf")
         return rows.unionByName(term_freq(log.live(self.changes()), self.options.analyzer)) if self._single or self._batches else rows
 
+    def all_tf(self) -> DataFrame:
+        """The rows of live_tf from the documents' side: for those who read all terms. Tombstones meet documents, not postings."""
+        rows = self._published(self._stored().select("segment_id", "doc_id", "counts")).select("doc_id", F.inline("counts"))
+        return rows.unionByName(term_freq(log.live(self.changes()), self.options.analyzer)) if self._single or self._batches else rows
+
     def posting(self, term: str) -> DataFrame:
         """doc_id of the live documents with the normalized term."""
         return self.live_tf().where(F.col("term") == normal(term)).select("doc_id")
@@ -218,8 +242,7 @@ class SearchIndex:
         meta = self.segments().find(segment_id)
         if meta is None:
             raise KeyError(f"no segment {segment_id}")
-        dead = self.tombstones()
-        return Segment(meta, seg.alive(self._table("docs", DOCS, [segment_id]), dead), seg.alive(self._table("postings", POSTINGS, [segment_id]), dead))
+        return Segment(meta, self._alive(self._table("docs", DOCS, [segment_id])), self._alive(self._table("postings", POSTINGS, [segment_id])), self._alive(self._stored([segment_id])))
 
     def segments(self) -> seg.SegmentSet:
         return seg.SegmentSet(self._table("docs", DOCS), self.tombstones(), self.segment_metas())
@@ -268,7 +291,7 @@ class SearchIndex:
         return row and row[0]
 
     def stats_snapshot(self, top_k: int = 20) -> DataFrame:
-        return stats.snapshot(self.live_tf(), self.live_docs().select("doc_id", "length"), top_k)
+        return stats.snapshot(self.all_tf(), self.live_docs().select("doc_id", "length"), top_k)
 
     def mem_doc_count(self) -> int:
         return log.live(self.changes()).count() if self._single or self._batches else 0
@@ -284,33 +307,38 @@ class SearchIndex:
 
     # Publishing
 
-    def _write_segment(self, segment_id: int, docs: DataFrame, tf: DataFrame) -> seg.Meta | None:
-        """Write docs(doc_id, text) with length, and tf, sorted by term; None if there are no documents."""
+    def _write_segment(self, segment_id: int, docs: DataFrame) -> seg.Meta | None:
+        """Write docs(doc_id, text, length, counts), each id once, and their postings; None if there are no documents.
+
+        Postings are sorted by term within a file, and a file has those of some 16 MB of texts: nothing is shuffled.
+        """
         at = f"segments/{seg.dir_name(segment_id)}"
         one = F.lit(segment_id).cast("long").alias("segment_id")
-        docs.select(one, "doc_id", "text", "length").write.mode("overwrite").parquet(self.store.full(f"{at}/docs"))
-        # a term's rows lie together, those of a very frequent one in up to 16 files
-        rows = tf.select(one, "doc_id", "term", "tf").repartition("term", F.pmod(F.col("doc_id"), F.lit(16))).sortWithinPartitions("term", "doc_id")
-        rows.write.mode("overwrite").parquet(self.store.full(f"{at}/postings"))
-        live, postings = (self.spark.read.schema(s).parquet(self.store.full(f"{at}/{k}")) for k, s in (("docs", DOCS), ("postings", POSTINGS)))
-        row = seg.metas(live, postings).first()
-        return None if row is None else seg.Meta(segment_id, row["doc_count"], row["min_doc"], row["max_doc"], row["term_count"], int(time.time()))
+        docs.select(one, "doc_id", "text", "length", "counts").write.mode("overwrite").option("parquet.block.size", GROUP).parquet(self.store.full(f"{at}/docs"))
+        stored = self.spark.read.schema(STORED).parquet(self.store.full(f"{at}/docs"))
+        stored.select("segment_id", "doc_id", F.inline("counts")).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(self.store.full(f"{at}/postings"))
+        n, low, high = stored.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+        terms = self.spark.read.schema(POSTINGS).parquet(self.store.full(f"{at}/postings")).select("term").distinct().count()
+        return seg.Meta(segment_id, n, low, high, terms, int(time.time())) if n else None
 
     def flush(self) -> None:
         """Publish all changes as one segment and tombstones; then merge at most once."""
         self._open()
         if not self._single and not self._batches:
             return
+        with reading(self.spark, READ):
+            self._flush()
+            self._maybe_merge()
+
+    def _flush(self) -> None:
         m, segment_id = self.manifest, self.manifest["next_id"]
-        terms = self.options.analyzer.list(F.col("text"))
-        name = f"segments/{seg.dir_name(segment_id)}/changes"
-        analysed = log.latest(self.changes()).withColumn("terms", F.when(F.col("op") == log.ADD, terms))
-        analysed = analysed.select("op", "doc_id", "text", F.size("terms").cast("long").alias("length"), counted(F.col("terms")).alias("counts"))
-        analysed.write.mode("overwrite").parquet(self.store.full(name))
-        latest = self.spark.read.schema(analysed.schema).parquet(self.store.full(name))
-        fresh = latest.where(F.col("op") == log.ADD)
-        meta = self._write_segment(segment_id, fresh.select("doc_id", "text", "length"), fresh.select("doc_id", F.inline("counts")))
-        dead = seg.alive(self._table("docs", DOCS), self.tombstones()).join(latest.select("doc_id"), "doc_id", "left_semi").select("segment_id", "doc_id")
+        changes, ids = self.changes(), log.changed(self.changes())
+        size = sum(self.store.size(f"log/{n}") for n in self._batches)
+        # a batch that changes no document twice is written as it is, without a shuffle of its texts
+        latest = log.valid(changes) if ids.groupBy("doc_id").count().where("count > 1").isEmpty() else log.latest(spread(changes, size, "doc_id"))
+        fresh = latest.where(F.col("op") == log.ADD).withColumn("terms", self.options.analyzer.list(F.col("text")))
+        meta = self._write_segment(segment_id, fresh.select("doc_id", "text", F.size("terms").cast("long").alias("length"), counted(F.col("terms")).alias("counts")))
+        dead = self._alive(self._table("docs", DOCS).select(*seg.KEY)).join(ids, "doc_id", "left_semi").select("segment_id", "doc_id")
         tomb = f"{segment_id:016x}"
         dead.write.mode("overwrite").parquet(self.store.full(f"tombstones/{tomb}"))
         lost = {r["segment_id"]: r["n"] for r in self.spark.read.schema(DEAD).parquet(self.store.full(f"tombstones/{tomb}")).groupBy("segment_id").agg(F.count("*").alias("n")).collect()}
@@ -331,13 +359,12 @@ class SearchIndex:
         self.manifest, self._single, self._batches = done, [], []
         for n in consumed:
             self.store.remove(f"log/{n}")
-        self.store.remove(name)
-        self._maybe_merge()
 
     def compact(self) -> bool:
         """Merge once if the policy asks for it; whether it did."""
         self._open()
-        return self._maybe_merge()
+        with reading(self.spark, READ):
+            return self._maybe_merge()
 
     def _maybe_merge(self) -> bool:
         policy, metas = self.options.merge_policy, self.segment_metas()
@@ -349,9 +376,7 @@ class SearchIndex:
             return False
         target = self.manifest["next_id"]
         dead = self.tombstones()
-        docs = seg.alive(self._table("docs", DOCS, ids), dead).dropDuplicates(["doc_id"])
-        tf = seg.alive(self._table("postings", POSTINGS, ids), dead).groupBy("doc_id", "term").agg(F.max("tf").alias("tf"))
-        meta = self._write_segment(target, docs, tf)
+        meta = self._write_segment(target, self._alive(self._stored(ids)))  # an id lives in one segment only: a flush buries its older versions
         rest = [vars(x) for x in seg.exclude_ids(metas, ids)]
         # tombstones of what stays are written anew, so that they never outlive their segments
         stays, old = [x["id"] for x in rest], self.manifest["tombstones"]
@@ -393,12 +418,13 @@ class Segment:
     meta: seg.Meta
     docs: DataFrame
     postings: DataFrame
+    stored: DataFrame
 
     def posting(self, term: str) -> DataFrame:
         return self.postings.where(F.col("term") == term).select("doc_id")
 
     def terms(self) -> DataFrame:
-        return self.postings.select("term").distinct()
+        return self.stored.select(F.inline("counts")).select("term").distinct()
 
     def live_docs(self) -> DataFrame:
         return self.docs.select("doc_id")
@@ -408,4 +434,4 @@ class Segment:
 
     def all_postings(self) -> DataFrame:
         """(term, doc_id) for every live document's terms."""
-        return self.postings.select("term", "doc_id")
+        return self.stored.select("doc_id", F.inline("counts")).select("term", "doc_id")

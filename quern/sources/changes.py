@@ -114,6 +114,11 @@ def fingerprint(changes: DataFrame) -> tuple[int, int, int]:
     return tuple(changes.agg(F.count("*"), F.coalesce(F.max("seq"), F.lit(-1)), F.coalesce(F.sum(row), F.lit(0))).first())
 
 
+def changed(changes: DataFrame) -> DataFrame:
+    """doc_id of every change, so several times where a document changes again."""
+    return changes.where(F.col("op").isin(ADD, DELETE)).select("doc_id")
+
+
 def latest(changes: DataFrame) -> DataFrame:
     """The last change of each document; of changes with equal seq, a delete, then the largest text."""
     last = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("seq"), F.desc("op"), F.desc("text")))

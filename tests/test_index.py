@@ -181,3 +181,38 @@ def test_changes_fold(spark):
     assert [tuple(r) for r in log.live(df).collect()] == [(6, "")]
     assert ids(log.pending_deletes(df)) == [5]
     assert sorted(r[0] for r in df.select(log.op_name(F.col("op"))).collect()) == ["add", "add", "delete", "op(9)"]
+
+
+def test_a_segment_is_written_without_a_shuffle_of_texts_or_postings(spark, tmp_path):
+    """A batch that changes no document twice: what is shuffled does not grow with its texts' lengths."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: sum(stages.apply(i).shuffleWriteBytes() for stages in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)] for i in range(stages.size()))
+    index = SearchIndex(spark, str(tmp_path), merge_policy=Policy(2, 10_000, 2))
+    texts = spark.range(1, 401).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.concat(F.lit("w"), (F.hash(i, "id") % 500).cast("string")))).alias("text"))
+    before = shuffled()
+    index.add_all(texts)
+    index.flush()
+    index.add_all(texts.where("doc_id % 4 = 0").select("doc_id", F.lit("new new").alias("text")))
+    index.flush()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert shuffled() - before < 200_000  # the postings alone are 500 KB and more
+    assert index.segment_count() == 1 and index.live_docs().count() == 400
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(index.live_tf()) == rows(index.all_tf()) and (4, "new", 1) in rows(index.all_tf())
+
+
+def test_an_index_from_before_counts_were_stored(spark, tmp_path):
+    index = SearchIndex(spark, str(tmp_path), merge_policy=Policy(2, 10_000, 2))
+    index.add_all(spark.createDataFrame(LOGS + [(9, "")], "doc_id long, text string"))
+    index.flush()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want, at = rows(index.all_tf()), index.store.full("segments/seg-0000000000000001/docs")
+    old = spark.createDataFrame(spark.read.parquet(at).drop("counts").collect(), "segment_id long, doc_id long, text string, length long")
+    old.write.mode("overwrite").parquet(at)
+    index.store.save_manifest({k: v for k, v in index.manifest.items() if k != "format"})
+    again = SearchIndex(spark, str(tmp_path), merge_policy=Policy(2, 10_000, 2))
+    assert rows(again.all_tf()) == want == rows(again.live_tf())
+    again.add(10, "error again")
+    again.flush()
+    assert again.segment_count() == 1 and rows(again.all_tf()) == sorted([*want, (10, "error", 1)]) == rows(again.live_tf())
+    assert again.live_docs().count() == 10
