@@ -195,7 +195,7 @@ class SearchIndex:
         if not names:
             return table
         few = sum(self.store.size(f"tombstones/{n}") for n in names) <= FEW
-        return seg.alive(table, F.broadcast(self.tombstones()) if few else self.tombstones())
+        return table.join(F.broadcast(self.tombstones()), seg.KEY, "left_anti") if few else seg.alive(table, self.tombstones())
 
     def _published(self, table: DataFrame) -> DataFrame:
         table = self._alive(table)

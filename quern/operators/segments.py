@@ -125,7 +125,10 @@ def score_segment(doc_count: Column, term_count: Column) -> Column:
 
 
 def alive(table: DataFrame, tombstones: DataFrame) -> DataFrame:
-    return table.join(tombstones.select(*KEY), KEY, "left_anti")
+    """The rows of table that no tombstone names. They are dealt out by doc_id alone, so what follows by doc_id needs no
+    second shuffle, and not sorted: a task holds its share of the tombstones (segment_id stands outside the join's keys for that)."""
+    dead = tombstones.select(F.col("segment_id").alias("_segment"), F.col("doc_id").alias("_doc")).hint("shuffle_hash")
+    return table.join(dead, (F.col("doc_id") == F.col("_doc")) & (F.col("segment_id") - F.col("_segment") == 0), "left_anti")
 
 
 def build(live: DataFrame, postings: DataFrame) -> DataFrame:
@@ -168,19 +171,22 @@ def duplicates(postings: DataFrame) -> DataFrame:
 
 def merge_problems(live: DataFrame, postings: DataFrame, tombstones: DataFrame, out_live: DataFrame, out_postings: DataFrame) -> DataFrame:
     """(problem, doc_id, term): what a merged segment lost, made up or holds twice; none for a right merge."""
-    want_docs, want_rows = alive(live, tombstones).select("doc_id").distinct(), alive(postings, tombstones).select("doc_id", "term").distinct()
+    want_docs = alive(live, tombstones).select("doc_id").distinct()
     no_term, pair = F.lit(None).cast("string").alias("term"), ["doc_id", "term"]
-    parts = [
-        want_docs.join(out_live, "doc_id", "left_anti").select(F.lit("missing document").alias("problem"), "doc_id", no_term),
-        out_live.join(want_docs, "doc_id", "left_anti").select(F.lit("unexpected document").alias("problem"), "doc_id", no_term),
-        want_rows.join(out_postings, pair, "left_anti").select(F.lit("missing posting").alias("problem"), *pair),
-        out_postings.join(want_rows, pair, "left_anti").select(F.lit("unexpected posting").alias("problem"), *pair),
-        duplicates(out_postings).select(F.lit("repeated posting").alias("problem"), *pair),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    docs = want_docs.join(out_live, "doc_id", "left_anti").select(F.lit("missing document").alias("problem"), "doc_id", no_term)
+    docs = docs.unionByName(out_live.join(want_docs, "doc_id", "left_anti").select(F.lit("unexpected document").alias("problem"), "doc_id", no_term))
+    # both sides' postings are counted in one pass: how often a pair is wanted, how often it is there, and in how many segments more than once
+    number = lambda n: F.lit(n).cast("long")
+    wanted = alive(postings, tombstones).select(*pair, number(1).alias("want"), number(0).alias("n"), number(0).alias("twice"))
+    held = out_postings.groupBy("doc_id", "term", "segment_id").agg(F.count("*").alias("n")).select(*pair, number(0).alias("want"), "n", F.when(F.col("n") > 1, 1).otherwise(0).cast("long").alias("twice"))
+    both = wanted.unionByName(held).groupBy(*pair).agg(*[F.sum(c).alias(c) for c in ("want", "n", "twice")]).where("want = 0 or n = 0 or twice > 0")
+    times = lambda problem, n: F.array_repeat(F.lit(problem), n.cast("int"))
+    found = F.concat(
+        times("missing posting", F.when(F.col("n") == 0, 1).otherwise(0)),
+        times("unexpected posting", F.when(F.col("want") == 0, F.col("n")).otherwise(0)),
+        times("repeated posting", F.col("twice")),
+    )
+    return docs.unionByName(both.select(F.explode(found).alias("problem"), *pair))
 
 
 def verify_merge(*tables: DataFrame) -> None:

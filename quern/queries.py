@@ -21,7 +21,7 @@ from quern.operators import segments as seg
 from quern.plans import compile as plan
 from quern.plans.query import And, Not, Or, Query, Term, cost, optimize, parse
 from quern.sources import changes as log
-from quern.sources.store import scratch
+from quern.sources.store import dealt, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -431,7 +431,9 @@ query("merge_dry_run", _SEG + "select count(distinct doc_id) as doc_count, min(d
 
 @query("merge_verify", _SEG + "select 'x' as problem, doc_id, '' as term from live where false")
 def merge_verify(s: SparkSession, d: str) -> DataFrame:
-    tables = _segments(s, d)
+    """Postings are dealt out by document once, in portions that do not grow with the corpus, for the merge and its check."""
+    live, postings, dead = _segments(s, d)
+    tables = live, dealt(postings, "doc_id", each=4 << 20), dead
     return seg.merge_problems(*tables, *seg.merge(*tables, 9))
 
 

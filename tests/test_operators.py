@@ -140,3 +140,17 @@ def test_segments(spark):
     assert policy.plan(metas, 7) == ([2, 3], 7) and [m.id for m in segments.exclude_ids(metas, [1])] == [2, 3]
     assert not segments.Policy().needs_compaction(metas[:2]) and segments.Policy().needs_compaction(metas)
     assert tuple(segments.dry_run(live, built).first()) == (3, 1, 3, 4)
+
+
+def test_merge_problems_are_counted_in_one_pass(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "segment_id long, doc_id long, term string")
+    ids = lambda *x: spark.createDataFrame(list(x), "segment_id long, doc_id long")
+    live, postings, dead = ids((1, 1), (1, 2), (2, 2), (2, 3)), rows((1, 1, "a"), (1, 2, "b"), (2, 2, "b"), (2, 3, "c")), ids((1, 1), (2, 2))
+    out = rows((9, 2, "b"), (9, 2, "b"), (8, 2, "b"), (8, 1, "a"), (8, 1, "a"), (9, 3, "x"))
+    problems = segments.merge_problems(live, postings, dead, ids((9, 2), (9, 4)), out)
+    assert sorted((r[0], r[1], r[2] or "") for r in problems.collect()) == [
+        ("missing document", 3, ""), ("missing posting", 3, "c"), ("repeated posting", 1, "a"), ("repeated posting", 2, "b"),
+        ("unexpected document", 4, ""), ("unexpected posting", 1, "a"), ("unexpected posting", 1, "a"), ("unexpected posting", 3, "x"),
+    ]
+    plan = segments.merge_problems(live, postings, dead, *segments.merge(live, postings, dead, 9))._jdf.queryExecution().executedPlan().toString()
+    assert plan[plan.index("Generate explode") :].count("Exchange hashpartitioning") == 4  # postings and tombstones, for the merge and for the check
