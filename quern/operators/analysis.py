@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from quern.functions.arrays import counted, none, without_repeats
 from quern.functions.strings import fold_ascii, lower_each, normalize
+from quern.sources.store import dealt
 
 # The default English stopwords.
 STOPWORDS = frozenset(
@@ -43,9 +44,12 @@ def by_doc():
 
 
 def _runs(docs: DataFrame, word: str, gap: str) -> DataFrame:
-    """Runs matching `word` with byte offsets: all runs of either kind, and running sums of their lengths."""
+    """Runs matching `word` with byte offsets: all runs of either kind, and running sums of their lengths.
+
+    Texts are dealt out by document before they become runs, so the windows shuffle texts once and no runs; a task gets some 4 MB of them.
+    """
     text = F.coalesce("text", F.lit(""))
-    runs = docs.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(f"{word}|{gap}"), F.lit(0))).alias("run", "term"))
+    runs = dealt(docs.select("doc_id", "text"), "doc_id", each=4 << 20).select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(f"{word}|{gap}"), F.lit(0))).alias("run", "term"))
     end = F.sum(F.octet_length("term")).over(W.partitionBy("doc_id").orderBy("run"))
     runs = runs.withColumn("end", end.cast("int")).where(F.col("term").rlike(f"^(?:{word})$"))
     return runs.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("run")) - 1).alias("ord"), "term", (F.col("end") - F.octet_length("term")).alias("start"), "end")

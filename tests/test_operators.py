@@ -154,3 +154,11 @@ def test_merge_problems_are_counted_in_one_pass(spark):
     ]
     plan = segments.merge_problems(live, postings, dead, *segments.merge(live, postings, dead, 9))._jdf.queryExecution().executedPlan().toString()
     assert plan[plan.index("Generate explode") :].count("Exchange hashpartitioning") == 4  # postings and tombstones, for the merge and for the check
+
+
+def test_offsets_shuffle_texts_and_no_runs(spark):
+    docs = spark.createDataFrame([(1, "Äb, c"), (2, ""), (3, None), (4, "x")], "doc_id long, text string")
+    tokens = an.SimpleTokenizer().rows(docs, True)
+    plan = tokens._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, tokens.collect())) == [(1, 0, "Äb", 0, 3), (1, 1, "c", 5, 6), (4, 0, "x", 0, 1)]
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
