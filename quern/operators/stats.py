@@ -17,7 +17,8 @@ def put(table: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def drop(table: DataFrame, ids: DataFrame) -> DataFrame:
-    return table.join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
+    """The table without the rows of these documents; it is not sorted for that, a task holds its share of the ids."""
+    return table.join(ids.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti")
 
 
 def term_stats(tf: DataFrame) -> DataFrame:

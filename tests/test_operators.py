@@ -162,3 +162,10 @@ def test_offsets_shuffle_texts_and_no_runs(spark):
     plan = tokens._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, tokens.collect())) == [(1, 0, "Äb", 0, 3), (1, 1, "c", 5, 6), (4, 0, "x", 0, 1)]
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_drop_does_not_sort_the_table(spark):
+    table = spark.range(50_000).selectExpr("id % 500 as doc_id", "cast(id as string) as term", "1L as tf")
+    left = stats.drop(table, spark.createDataFrame([(1,), (1,), (7,)], "doc_id long"))
+    assert "Sort" not in left._jdf.queryExecution().executedPlan().toString()
+    assert left.count() == 50_000 - 200 and left.where("doc_id in (1, 7)").isEmpty()
