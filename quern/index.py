@@ -275,7 +275,7 @@ class SearchIndex:
     def search_doc_ids(self, q: Query | str, limit: int | None = None) -> DataFrame:
         """The ids of all matching documents, in id order: max_hits cuts a ranking, and none is needed here. limit: those of the best hits only."""
         ids = self.search(q, limit=limit) if limit else plan.matching(self._ready(q), self.live_tf(), self.live_docs())
-        return ids.select("doc_id").orderBy("doc_id")
+        return plan.in_order(ids)
 
     def brute_force(self, q: Query | str) -> DataFrame:
         """doc_id of matching documents by analysing every text: no index, no score, no limit."""
@@ -283,8 +283,8 @@ class SearchIndex:
         if q is None or q.is_empty():
             raise EmptyQuery("the query is empty")
         self._open()
-        lists = term_lists(self.live_docs().select("doc_id", "text"), self.options.analyzer, unique=True)
-        return lists.where(plan.predicate(optimize(q), F.col("terms"))).select("doc_id").orderBy("doc_id")
+        lists = term_lists(self.live_docs().select("doc_id", "text"), self.options.analyzer)
+        return plan.in_order(lists.where(plan.predicate(optimize(q), F.col("terms"))))
 
     def doc_text(self, doc_id: int) -> str | None:
         row = self.live_docs().where(F.col("doc_id") == doc_id).select("text").first()

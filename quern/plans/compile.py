@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.arrays import let
 from quern.plans.query import Kind, Query, term_weights
 
 
@@ -42,12 +43,14 @@ def matching(q: Query, postings: DataFrame, universe: DataFrame) -> DataFrame:
 
 
 def predicate(q: Query | None, terms: Column) -> Column:
-    """The same as a condition on an array of a document's terms."""
-    if q is None:
-        return F.lit(False)
+    """The same as a condition on an array of a document's terms, which is computed once, however many terms q has."""
+    return F.lit(False) if q is None else let(terms, lambda known: _holds(q, known))
+
+
+def _holds(q: Query, terms: Column) -> Column:
     if q.kind is Kind.TERM:
         return F.array_contains(terms, q.term)
-    kids = [predicate(k, terms) for k in q.kids]
+    kids = [_holds(k, terms) for k in q.kids]
     if not kids:
         return F.lit(False)
     if q.kind is Kind.NOT:
@@ -55,6 +58,11 @@ def predicate(q: Query | None, terms: Column) -> Column:
     return reduce((lambda a, b: a & b) if q.kind is Kind.AND else (lambda a, b: a | b), kids)
 
 
+def in_order(ids: DataFrame) -> DataFrame:
+    """doc_id, sorted. Ids are dealt out first: a sort reads its input twice, to find its ranges, and this way that is the ids alone."""
+    return ids.select("doc_id").repartition("doc_id").orderBy("doc_id")
+
+
 def weighted_tf(q: Query, postings: DataFrame) -> DataFrame:
     """(doc_id, score): term frequencies of q's terms, each as often as it stands in q."""
     weights = term_weights(q)

@@ -225,7 +225,7 @@ query("search_doc_ids_limited", cte() + f"select doc_id from (select doc_id, tf
 
 
 def _brute(q: Query):
-    return lambda s, d: an.term_lists(corpus(s, d), unique=True).where(plan.predicate(q, F.col("terms"))).select("doc_id")
+    return lambda s, d: an.term_lists(corpus(s, d)).where(plan.predicate(q, F.col("terms"))).select("doc_id")
 
 
 query("brute_force_and", cte() + f"select doc_id from ({_ER}) where doc_id in ({_RE})")(_brute(And(Term("er"), Term("re"))))

@@ -216,3 +216,29 @@ def test_an_index_from_before_counts_were_stored(spark, tmp_path):
     again.flush()
     assert again.segment_count() == 1 and rows(again.all_tf()) == sorted([*want, (10, "error", 1)]) == rows(again.live_tf())
     assert again.live_docs().count() == 10
+
+
+def test_brute_force_analyses_a_text_once(spark, tmp_path):
+    analysed = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        @F.udf("array<string>")
+        def split(text):
+            analysed.add(1)
+            return text.split()
+
+        def list(self, text):
+            return Counting.split(text)
+
+    index = SearchIndex(spark, str(tmp_path / "once"), analyzer=Counting())
+    index.add_all(spark.createDataFrame(LOGS, "doc_id long, text string"))
+    index.flush()
+    analysed.value = 0
+    assert [r["doc_id"] for r in index.brute_force("error and not disk").collect()] == [1]
+    assert analysed.value == len(LOGS)  # not once more to find the ranges of the sort
+    plain = SearchIndex(spark, str(tmp_path / "plain"))
+    plain.add_all(spark.createDataFrame(LOGS, "doc_id long, text string"))
+    plain.flush()
+    rows = plain.brute_force("error and not disk and not io")
+    assert [r["doc_id"] for r in rows.collect()] == [1]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1  # however many terms the query has
